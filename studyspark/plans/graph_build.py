@@ -15,13 +15,16 @@ from studyspark.plans.text import chunks as plain_chunks
 from studyspark.plans.text import has, q, sql_strip
 from studyspark.plans.views import SQL, with_views
 from studyspark.sources.parsed import explode_parsed
+from studyspark.session import cut_lineage
 from studyspark.sources.tables import read_table
 
 catalog = Catalog()
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return attach_entities(plain_chunks(spark, sf)).withColumn("heading_level", F.length(F.regexp_extract("text", "^(#+)", 1)))
+    """The chunk table with entities. Graph construction reads it several times, so it is written once."""
+    rows = attach_entities(plain_chunks(spark, sf))
+    return cut_lineage(rows.withColumn("heading_level", F.length(F.regexp_extract("text", "^(#+)", 1))))
 
 
 PARTS = r"string_split(regexp_replace(c.text, '([.!?])[\t-\r ]+', '\1' || chr(10), 'g'), chr(10))"
@@ -162,14 +165,14 @@ def _(spark, sf):
 
 
 @catalog.add("e14_fallback_topic", with_views(NODES + " qa", """
-, e AS (SELECT DISTINCT card_id FROM qa JOIN resolved ON node_type = 'Entity' AND contains(lower(question || chr(1) || answer || chr(1)), lower(label))),
+, e AS (SELECT DISTINCT card_id FROM qa JOIN resolved ON node_type = 'Entity' AND length(label) >= 10 AND contains(lower(question || chr(1) || answer || chr(1)), lower(label))),
 f AS (SELECT label FROM topics ORDER BY first_doc, first_chunk, label LIMIT 1)
 SELECT 'flashcard-' || card_id AS source, f.label AS target, 'DERIVED_FROM' AS type, CAST(0.5 AS DOUBLE) AS weight
 FROM qa, f WHERE card_id NOT IN (SELECT card_id FROM e)"""))
 def _(spark, sf):
-    # Links to entities only, so that enough cards stay without one.
+    # Links to long entities only, so that enough cards stay without one.
     cards, (nodes, _, topics) = qa_cards(spark, sf), resolved_nodes(chunks(spark, sf))
-    return g.fallback_topic(cards, g.cards_to_nodes(cards, nodes.filter("node_type = 'Entity'")), topics)
+    return g.fallback_topic(cards, g.cards_to_nodes(cards, nodes.filter("node_type = 'Entity' AND length(label) >= 10")), topics)
 
 
 LINK = "CASE WHEN node_type = 'Topic' THEN 'EXPLAINS' ELSE 'DERIVED_FROM' END"
