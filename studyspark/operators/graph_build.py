@@ -243,14 +243,9 @@ def used_in(formulas: DataFrame, topics: DataFrame, subtopics: DataFrame, strict
     )
     named = formulas.filter(F.coalesce("latex", F.lit("")) != "")
     keys = ["note_id", "topic_no", "topic"]
-    by_text = label_in_text(texts, named.select("note_id", F.col("latex").alias("label")), keys, ["note_id"], ignore_case=False)
-    by_description = label_in_text(
-        texts, named.select("note_id", F.col("description").alias("label")), keys, ["note_id"], ignore_case=False
-    )
-    hits = by_text.select("note_id", "topic", F.col("label").alias("latex")).unionByName(
-        by_description.withColumnRenamed("label", "description")
-        .join(named.select("note_id", "description", "latex").distinct(), ["note_id", "description"]).select("note_id", "topic", "latex")
-    )
+    marks = named.select("note_id", "latex", F.explode(F.array("latex", F.coalesce("description", F.lit("")))).alias("label"))
+    found = label_in_text(texts, marks, keys, ["note_id"], ignore_case=False)
+    hits = found.join(marks.distinct(), ["note_id", "label"]).select("note_id", "topic", "latex")
     if not strict:
         blank = named.filter(F.coalesce("description", F.lit("")) == "").select("note_id", "latex")
         hits = hits.unionByName(texts.join(blank, "note_id").select("note_id", "topic", "latex"))

@@ -267,6 +267,11 @@ def parsed_notes(spark: SparkSession, sf: str) -> DataFrame:
     return notes.select(F.col("l_orderkey").alias("note_id"), F.to_json(content).alias("parsed_content"))
 
 
+def parsed_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The item tables of the parsed notes, which are written once: every item table reads them."""
+    return explode_parsed(cut_lineage(parsed_notes(spark, sf)))
+
+
 @catalog.add("a5_explode_parsed", with_views("note_lines note_items", """
 SELECT 'topic' AS kind, note_id, 0 AS pos, max(o_orderpriority) AS name, max('Status ' || o_orderstatus) AS detail FROM note_items GROUP BY note_id
 UNION ALL SELECT 'subtopic', note_id, i - 1, subtopic, content FROM note_items
@@ -274,7 +279,7 @@ UNION ALL SELECT 'formula', note_id, i - 1, latex, formula_text FROM note_items
 UNION ALL SELECT 'concept', note_id, i - 1, p_name, p_type || ' goes with ' || coalesce(next_name, 'nothing') FROM note_items
 UNION ALL SELECT 'question', note_id, i - 1, 'What is ' || p_name || '?', 'A ' || p_type || ' part of ' || p_brand FROM note_items"""))
 def _(spark, sf):
-    t = explode_parsed(parsed_notes(spark, sf))
+    t = parsed_tables(spark, sf)
 
     def shape(kind: str, df: DataFrame, pos: str, name: str, detail: str) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), "note_id", F.col(pos).cast("bigint").alias("pos"), F.col(name).alias("name"),
@@ -295,7 +300,7 @@ def _(spark, sf):
 SELECT note_id, node_type AS kind, label AS source, '' AS target FROM n
 UNION ALL SELECT note_id, 'CONTAINS', o_orderpriority, subtopic FROM note_items"""))
 def _(spark, sf):
-    nodes, edges = g.parsed_graph(explode_parsed(parsed_notes(spark, sf)))
+    nodes, edges = g.parsed_graph(parsed_tables(spark, sf))
     return nodes.select("note_id", F.col("node_type").alias("kind"), F.col("label").alias("source"), F.lit("").alias("target")).unionByName(
         edges.select("note_id", F.col("type").alias("kind"), "source", "target")
     )
@@ -306,7 +311,7 @@ SELECT DISTINCT a.note_id, a.i - 1 AS pos, a.p_name AS source, b.p_name AS targe
 FROM note_items a JOIN note_items b ON a.note_id = b.note_id AND a.p_name <> b.p_name
  AND contains(lower(a.p_type || ' goes with ' || coalesce(a.next_name, 'nothing') || ' see ' || a.p_brand), lower(b.p_name))"""))
 def _(spark, sf):
-    concepts = explode_parsed(parsed_notes(spark, sf))["concepts"]
+    concepts = parsed_tables(spark, sf)["concepts"]
     text = F.concat_ws(" ", "definition", F.array_join("examples", " "))
     from studyspark.operators.substring_join import label_in_text
     hits = label_in_text(
@@ -324,7 +329,7 @@ SQL["uses"] = """
 
 @catalog.add("e20_used_in", with_views("note_lines note_items uses", " SELECT note_id, source, target FROM uses"))
 def _(spark, sf):
-    t = explode_parsed(parsed_notes(spark, sf))
+    t = parsed_tables(spark, sf)
     return g.used_in(t["formulas"], t["topics"], t["subtopics"]).select("note_id", "source", "target")
 
 
