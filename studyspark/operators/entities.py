@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyspark.functions import mentions as m
+from studyspark.operators.edit_join import leader_clusters, similar_strings
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
@@ -72,3 +73,21 @@ def attach_mentions(chunks: DataFrame, found: DataFrame) -> DataFrame:
     )
     empty = F.array().cast("array<struct<text:string,type:string,confidence:double>>")
     return chunks.join(grouped, ["doc_id", "chunk_no"], "left").withColumn("entities", F.coalesce("entities", empty))
+
+
+def similar_forms(canonicals: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs of different folded forms whose edit similarity exceeds the threshold, the smaller form first."""
+    forms = canonicals.select(F.lower("text").alias("s")).distinct()
+    return similar_strings(forms, forms, threshold).filter(F.col("sa") < F.col("sb"))
+
+
+def fuzzy_merge(canonicals: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """text, forms, mentions: canonical forms merged by edit similarity. A form joins the first earlier group
+    leader it is similar to; the longest form of a group stands for it."""
+    keyed = canonicals.withColumn("s", F.lower("text"))
+    items = keyed.groupBy("s").agg(F.min("first").alias("ord")).withColumn("lead", F.col("ord.doc_id"))
+    groups = leader_clusters(items, threshold)
+    return keyed.join(groups, "s").groupBy("leader").agg(
+        F.min_by("text", F.struct(-F.length("text"), F.col("first"))).alias("text"),
+        F.count("*").alias("forms"), F.sum("mentions").alias("mentions"),
+    )
