@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from studyspark.functions import fixed as fx
 from studyspark.functions.text import contains_any, replace_all, strip, word_count
-from studyspark.operators.edit_join import leader_clusters, similar_strings
+from studyspark.operators.edit_join import leader_clusters, similar_within
 from studyspark.operators.paging import top_n
 
 VARIANTS = ("heuristic", "templates")
@@ -193,7 +193,7 @@ def normal_question(q: Column, variant: str = "heuristic") -> Column:
 
 def similar_questions(cards: DataFrame, variant: str = "heuristic", threshold: float = 0.8) -> DataFrame:
     keys = cards.select(normal_question(F.col("question"), variant).alias("s")).distinct()
-    return similar_strings(keys, keys, threshold).filter(F.col("sa") < F.col("sb"))
+    return similar_within(keys, threshold)
 
 
 def dedup_cards(cards: DataFrame, keep: str = "first", variant: str = "heuristic", threshold: float = 0.8) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyspark.functions import mentions as m
-from studyspark.operators.edit_join import leader_clusters, similar_strings
+from studyspark.operators.edit_join import leader_clusters, similar_within
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def attach_mentions(chunks: DataFrame, found: DataFrame) -> DataFrame:
 def similar_forms(canonicals: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of different folded forms whose edit similarity exceeds the threshold, the smaller form first."""
     forms = canonicals.select(F.lower("text").alias("s")).distinct()
-    return similar_strings(forms, forms, threshold).filter(F.col("sa") < F.col("sb"))
+    return similar_within(forms, threshold)
 
 
 def fuzzy_merge(canonicals: DataFrame, threshold: float = 0.8) -> DataFrame:
