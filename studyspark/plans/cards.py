@@ -219,12 +219,17 @@ def _(spark, sf):
     return c.dedup_cards(cards, "first").drop("ord")
 
 
-@catalog.add("c6_similar_forms", with_views(TYPED, """
+# The SQL distance counts bytes. The forms are lower case, so each accented letter is first replaced by
+# a capital of its own and takes one byte.
+ONE_BYTE = "translate(lower(text), 'éèêëçàâîïôûùäöüßñíóúá', 'ABCDEFGHIJKLMNOPQRSTU')"
+
+
+@catalog.add("c6_similar_forms", with_views(TYPED, f"""
 , f AS (SELECT norm, text, count(*) AS n FROM typed GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, length(text) DESC, text) AS k FROM f),
-s AS (SELECT DISTINCT lower(text) AS s FROM r WHERE k = 1)
+s AS (SELECT DISTINCT lower(text) AS s, {ONE_BYTE} AS b FROM r WHERE k = 1)
 SELECT a.s AS sa, b.s AS sb FROM s a JOIN s b ON a.s < b.s AND abs(length(a.s) - length(b.s)) < 0.2 * greatest(length(a.s), length(b.s))
-  AND 1.0 - CAST(levenshtein(a.s, b.s) AS DOUBLE) / greatest(length(a.s), length(b.s)) > 0.8"""))
+  AND 1.0 - CAST(levenshtein(a.b, b.b) AS DOUBLE) / greatest(length(a.s), length(b.s)) > 0.8"""))
 def _(spark, sf):
     return e.similar_forms(cut_lineage(e.canonical(entity_rows(spark, sf))))
 
