@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studyspark.session import shared_dir
 
@@ -24,7 +25,7 @@ def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch_id", "bigint")).parquet(f"{base}/out")
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{base}/out")
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
