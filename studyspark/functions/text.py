@@ -97,7 +97,7 @@ def sentences(text: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     head = F.regexp_extract(text, r"(?s)^(.*?[.!?])[\t-\r ]", 1)
-    return F.when(head == "", text).otherwise(head)
+    return F.coalesce(F.nullif(head, F.lit("")), text)
 
 
 def _pack(units: Column, size: int, split_oversize) -> Column:
@@ -177,14 +177,14 @@ def content_type(text: Column) -> Column:
 
 def own_topic(text: Column) -> Column:
     """The topic a chunk names itself, or null."""
-    first = strip(first_sentence(text))
+    first = bind(strip(first_sentence(text)), lambda x: F.when(F.length(x) < 100, x))
     line = (
         (F.length(text) < 100) & F.rlike(text, F.lit(r"^\p{Lu}")) & ~F.contains(text, F.lit(NL)) & ~F.rlike(text, F.lit(r"[.!?]\z"))
     )
     return (
         F.when(F.startswith(text, F.lit("#")), strip(replace_all(text, r"^#+[\t-\r ]*")))
         .when(line, text)
-        .when(F.length(first) < 100, first)
+        .otherwise(first)
     )
 
 
@@ -202,14 +202,20 @@ def term_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+")).cast("bigint")
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once. Branches of a CASE share no subexpressions otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def academic_level(text: Column, formula: Column, words: Column) -> Column:
-    lower = F.lower(text)
-    terms = reduce(lambda a, b: a + b, [F.contains(lower, F.lit(t)).cast("int") for t in fx.TECHNICAL_TERMS])
+    terms = bind(F.lower(text), lambda lower: reduce(
+        lambda a, b: a + b, [F.contains(lower, F.lit(t)).cast("int") for t in fx.TECHNICAL_TERMS]
+    ))
     score = (
         F.when(formula, 2).otherwise(0) + (words > 50).cast("int") + (words > 100).cast("int") + terms
         + F.rlike(text, F.lit("[:;]")).cast("int")
     )
-    return F.when(score >= 4, "advanced").when(score >= 2, "intermediate").otherwise("basic")
+    return bind(score, lambda s: F.when(s >= 4, "advanced").when(s >= 2, "intermediate").otherwise("basic"))
 
 
 def normalize_ws(text: Column) -> Column:

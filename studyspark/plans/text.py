@@ -11,6 +11,7 @@ from studyspark.operators import layout, ocr, text_prep
 from studyspark.plans import views as v
 from studyspark.plans.registry import Catalog
 from studyspark.plans.views import SQL, with_views
+from studyspark.session import spread
 from studyspark.sources.tables import read_table
 
 catalog = Catalog()
@@ -108,7 +109,7 @@ CHUNKS = "lines chunk_text chunk_meta chunk_own chunks"
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return spread(read_table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
 
 
 def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
