@@ -17,6 +17,8 @@ def local_session(app: str = "studyspark", cpus: int | str = 8, **conf) -> Spark
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
+        # The JVM never compiles methods above this size; such stages run faster without fused code.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
