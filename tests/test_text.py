@@ -78,7 +78,7 @@ def test_layout_of_recognised_text(spark):
     assert [b.type for b in blocks] == ["list", "table", "math", "paragraph", "code", "paragraph"]
     assert list(blocks[0]["items"]) == ["one", "two"] and blocks[4].text == "```py\nx = 1"
     flat = layout.flatten_blocks(layout.blocks(lines), layout.sections(lines)).first().text
-    assert flat.startswith("BIOLOGY NOTES\n* one\n* two\n| a | b |")
+    assert flat.startswith("BIOLOGY NOTES\n- one\n- two\n| a | b |")
 
 
 def test_select_ocr_chain(spark):
