@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+_roots: dict[str, str] = {}
+
 
 def local_session(app: str = "studyspark", cpus: int | str = 8, **conf) -> SparkSession:
     """A local session. On a cluster the session comes from spark-submit instead."""
@@ -55,6 +63,49 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give every Python worker this package, from whatever folder the driver was started. Once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="studyspark-code-")) / "studyspark.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in PACKAGE.rglob("*.py"):
+            out.write(source, source.relative_to(PACKAGE.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table, under the shared folder. All of them go when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{shared_dir(spark).rstrip('/')}/studyspark-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _roots[app])
+    return f"{_roots[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        remove_folder(spark, folder)
+    except Exception:  # noqa: BLE001  the application may have ended; its shared folder is then cleared by the cluster
+        pass
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of an intermediate table that no later action reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: computed once, safe from lost executors, with a short lineage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread the rows of a few large input splits over all cores before work that is heavy per row. Input
     that already has a split per core stays as it is."""
