@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes handled at once; bounds the temporary arrays to some 40 times as much.
 SLICE_BYTES = 4 << 20
@@ -26,7 +27,7 @@ _LOWER[65:91] += 32
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in slices of at most ``most`` bytes in ``column``; a longer value makes a slice of its own."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
         first, total = 0, 0
         for i, size in enumerate(sizes):
             if total and total + size > most:
@@ -39,7 +40,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the offset of each row (one more than rows). Null is empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_binary()), b"")
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyspark.plans.registry import Catalog
+from studyspark.session import ship_package, written
 
 catalog = Catalog()
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -20,3 +22,28 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     from studyspark.llm.url_filter import fit_url_filter, rule_labels
     pages = _table(spark, folder, "pages").select("page_id", "url")
     return fit_url_filter(rule_labels(pages)).apply(pages, "page_id")
+
+
+def _word_vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _with_crc(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@catalog.add("op5_fit_packing")
+def op5_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows packed by best fit, written as matrices; one row per segment of the written windows."""
+    from studyspark.llm.fit_packing import pack, pieces
+    packed = written(pack(_table(spark, folder, "documents"), _word_vocabulary()), "packed")
+    return _with_crc(pieces(packed))
+
+
+@catalog.add("op10_cut_packing")
+def op10_cut_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents end to end, cut into windows; one row per piece."""
+    from studyspark.llm.cut_packing import cut
+    from studyspark.llm.word_tokens import tokenize
+    return _with_crc(cut(written(tokenize(_table(spark, folder, "documents"), _word_vocabulary()), "tokens")))
