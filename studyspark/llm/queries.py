@@ -47,3 +47,13 @@ def op10_cut_packing(spark: SparkSession, folder: str) -> DataFrame:
     from studyspark.llm.cut_packing import cut
     from studyspark.llm.word_tokens import tokenize
     return _with_crc(cut(written(tokenize(_table(spark, folder, "documents"), _word_vocabulary()), "tokens")))
+
+
+@catalog.add("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts encoded by merge ranks and decoded again."""
+    import public_tokenizers
+    from studyspark.llm.byte_bpe import decode, encode
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = encode(_table(spark, folder, "documents"), path, pattern)
+    return decode(encoded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
