@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyspark.plans.registry import Catalog
-from studyspark.session import ship_package, written
+from studyspark.session import scratch_path, ship_package, written
 
 catalog = Catalog()
 
@@ -57,3 +57,14 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = encode(_table(spark, folder, "documents"), path, pattern)
     return decode(encoded, path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@catalog.add("op6_warc")
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """A WARC record per page, written and read back."""
+    from studyspark.llm.warc import read_archives, with_revisits, write_archives
+    target = scratch_path(spark, "warc")
+    write_archives(with_revisits(_table(spark, folder, "pages")), target)
+    read = read_archives(spark, target)
+    return read.select(F.col("record").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("long").alias("refers_to"), "sound")
