@@ -68,3 +68,10 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     read = read_archives(spark, target)
     return read.select(F.col("record").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").cast("long").alias("refers_to"), "sound")
+
+
+@catalog.add("op3_quality")
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the outlier verdict of every document."""
+    from studyspark.llm.quality import judged
+    return judged(_table(spark, folder, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
