@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyspark.plans.registry import Catalog
@@ -75,3 +75,15 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base rules and the outlier verdict of every document."""
     from studyspark.llm.quality import judged
     return judged(_table(spark, folder, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+@catalog.add("op2_pii")
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and context-found spans of personal data in every document."""
+    from studyspark.llm.pii import KINDS, find, joined_spans
+    found = find(_table(spark, folder, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined_spans("base").cast("binary"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
