@@ -87,3 +87,10 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined_spans("base").cast("binary"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+
+
+@catalog.add("op7_set_join")
+def op7_set_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents grouped by the Jaccard similarity of their word 4-grams."""
+    from studyspark.llm.set_join import near_duplicates
+    return near_duplicates(_table(spark, folder, "documents"))
