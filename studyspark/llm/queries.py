@@ -94,3 +94,10 @@ def op7_set_join(spark: SparkSession, folder: str) -> DataFrame:
     """Documents grouped by the Jaccard similarity of their word 4-grams."""
     from studyspark.llm.set_join import near_duplicates
     return near_duplicates(_table(spark, folder, "documents"))
+
+
+@catalog.add("op1_pq_dedup")
+def op1_pq_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings grouped by cosine within their label."""
+    from studyspark.llm.pq_dedup import near_duplicates
+    return near_duplicates(_table(spark, folder, "embeddings"))
