@@ -101,3 +101,10 @@ def op1_pq_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings grouped by cosine within their label."""
     from studyspark.llm.pq_dedup import near_duplicates
     return near_duplicates(_table(spark, folder, "embeddings"))
+
+
+@catalog.add("op8_katz")
+def op8_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """Katz backoff and base scores of every document."""
+    from studyspark.llm.katz import score
+    return score(_table(spark, folder, "documents"))
