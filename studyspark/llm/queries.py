@@ -108,3 +108,10 @@ def op8_katz(spark: SparkSession, folder: str) -> DataFrame:
     """Katz backoff and base scores of every document."""
     from studyspark.llm.katz import score
     return score(_table(spark, folder, "documents"))
+
+
+@catalog.add("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the training-data pipeline."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, folder)
