@@ -19,7 +19,7 @@ from studyspark.session import cut_lineage
 from studyspark.sources.tables import read_table
 
 catalog = Catalog()
-BIG_CHUNK = F.col("chunk_no").cast("bigint").alias("chunk_no")
+CHUNK_NO = "cast(chunk_no AS bigint) AS chunk_no"
 
 
 def literal_list(kind: str, table, n: int | None = None) -> str:
@@ -84,7 +84,7 @@ SELECT 'heuristic' AS variant, doc_id, chunk_no, array_to_string(ts, '|') AS tem
 UNION ALL SELECT 'templates', doc_id, chunk_no, array_to_string(ts, '|') FROM p_templates"""))
 def _(spark, sf):
     rows = chunk_rows(spark, sf)
-    return _variants(lambda v: c.select_templates(rows, v).select("doc_id", BIG_CHUNK, F.array_join("templates", "|").alias("templates")))
+    return _variants(lambda v: c.select_templates(rows, v).select("doc_id", F.expr(CHUNK_NO), F.array_join("templates", "|").alias("templates")))
 
 
 @catalog.add("g2_fill_questions", with_views(BASE + " h_templates p_templates h_questions p_questions", """
@@ -92,14 +92,14 @@ SELECT 'heuristic' AS variant, doc_id, chunk_no, q_no, question FROM h_questions
 UNION ALL SELECT 'templates', doc_id, chunk_no, q_no, question FROM p_questions"""))
 def _(spark, sf):
     rows = chunk_rows(spark, sf)
-    return _variants(lambda v: c.fill_questions(c.select_templates(rows, v), v).select("doc_id", BIG_CHUNK, F.col("q_no").cast("bigint").alias("q_no"), "question"))
+    return _variants(lambda v: c.fill_questions(c.select_templates(rows, v), v).select("doc_id", F.expr(CHUNK_NO), F.col("q_no").cast("bigint").alias("q_no"), "question"))
 
 
 @catalog.add("g3_valid_question", with_views(BASE + " p_templates p_questions", f"""
 SELECT doc_id, chunk_no, q_no, question FROM p_questions WHERE {VALID_Q}"""))
 def _(spark, sf):
     asked = c.fill_questions(c.select_templates(chunk_rows(spark, sf), "templates"), "templates")
-    return c.valid_question(asked).select("doc_id", BIG_CHUNK, F.col("q_no").cast("bigint").alias("q_no"), "question")
+    return c.valid_question(asked).select("doc_id", F.expr(CHUNK_NO), F.col("q_no").cast("bigint").alias("q_no"), "question")
 
 
 SQL["overlap_input"] = """
@@ -144,7 +144,7 @@ SQL["pattern"] = f"""
 SELECT doc_id, chunk_no, q_no, answer, confidence FROM pattern"""))
 def _(spark, sf):
     asked = c.fill_questions(c.select_templates(chunk_rows(spark, sf)))
-    return c.answer_pattern(asked).select("doc_id", BIG_CHUNK, F.col("q_no").cast("bigint").alias("q_no"), "answer", "confidence")
+    return c.answer_pattern(asked).select("doc_id", F.expr(CHUNK_NO), F.col("q_no").cast("bigint").alias("q_no"), "answer", "confidence")
 
 
 @catalog.add("g6_valid_answer", f"""
@@ -167,7 +167,7 @@ SELECT doc_id, chunk_no, 'heuristic' AS variant, CAST({sql_difficulty(">= 5")} A
 UNION ALL SELECT doc_id, chunk_no, 'templates', CAST({sql_difficulty("> 2")} AS BIGINT) FROM chunk_cards"""))
 def _(spark, sf):
     rows = chunk_rows(spark, sf)
-    return _variants(lambda v: c.difficulty(rows, v).select("doc_id", BIG_CHUNK, F.col("difficulty").cast("bigint").alias("difficulty")))
+    return _variants(lambda v: c.difficulty(rows, v).select("doc_id", F.expr(CHUNK_NO), F.col("difficulty").cast("bigint").alias("difficulty")))
 
 
 @catalog.add("g8_source_type", with_views(BASE + " p_templates p_questions overlap_input overlap", """
@@ -208,7 +208,7 @@ SELECT p.doc_id, p.chunk_no, q_no, question, answer, topic AS context, CAST({sql
 FROM pattern p JOIN chunk_cards c ON c.doc_id = p.doc_id AND c.chunk_no = p.chunk_no"""))
 def _(spark, sf):
     return c.generate_cards(chunk_rows(spark, sf)).select(
-        "doc_id", BIG_CHUNK, F.col("q_no").cast("bigint").alias("q_no"), "question", "answer", "context",
+        "doc_id", F.expr(CHUNK_NO), F.col("q_no").cast("bigint").alias("q_no"), "question", "answer", "context",
         F.col("difficulty").cast("bigint").alias("difficulty"), "source_type",
     )
 

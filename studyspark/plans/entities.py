@@ -40,8 +40,7 @@ SQL["typed"] = f"""
   FROM terms"""
 MENTIONS = CHUNKS + " mention_arrays mentions"
 TYPED = MENTIONS + " terms typed"
-BIG_CHUNK_NO = F.col("chunk_no").cast("bigint").alias("chunk_no")
-BIG_POS = F.col("pos").cast("bigint").alias("pos")
+BIG = {"chunk_no": "cast(chunk_no AS bigint) AS chunk_no", "pos": "cast(pos AS bigint) AS pos"}
 
 
 def entity_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,22 +49,22 @@ def entity_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalog.add("c1_mentions", with_views(MENTIONS, " SELECT doc_id, chunk_no, pos, text FROM mentions"))
 def _(spark, sf):
-    return e.mentions(chunks(spark, sf)).select("doc_id", BIG_CHUNK_NO, BIG_POS, "text")
+    return e.mentions(chunks(spark, sf)).select("doc_id", F.expr(BIG["chunk_no"]), F.expr(BIG["pos"]), "text")
 
 
 @catalog.add("c2_filter_terms", with_views(MENTIONS + " terms", " SELECT doc_id, chunk_no, pos, text FROM terms"))
 def _(spark, sf):
-    return e.filter_terms(e.mentions(chunks(spark, sf))).select("doc_id", BIG_CHUNK_NO, BIG_POS, "text")
+    return e.filter_terms(e.mentions(chunks(spark, sf))).select("doc_id", F.expr(BIG["chunk_no"]), F.expr(BIG["pos"]), "text")
 
 
 @catalog.add("c3_classify_entity", with_views(TYPED, " SELECT doc_id, chunk_no, pos, type FROM typed"))
 def _(spark, sf):
-    return entity_rows(spark, sf).select("doc_id", BIG_CHUNK_NO, BIG_POS, "type")
+    return entity_rows(spark, sf).select("doc_id", F.expr(BIG["chunk_no"]), F.expr(BIG["pos"]), "type")
 
 
 @catalog.add("c4_normalize_entity", with_views(TYPED, " SELECT doc_id, chunk_no, pos, norm FROM typed"))
 def _(spark, sf):
-    return entity_rows(spark, sf).select("doc_id", BIG_CHUNK_NO, BIG_POS, "norm")
+    return entity_rows(spark, sf).select("doc_id", F.expr(BIG["chunk_no"]), F.expr(BIG["pos"]), "norm")
 
 
 @catalog.add("c5_canonical", with_views(TYPED, """
@@ -88,5 +87,5 @@ FROM chunks c LEFT JOIN typed t ON t.doc_id = c.doc_id AND t.chunk_no = c.chunk_
 def _(spark, sf):
     named = F.transform("entities", lambda x: F.concat_ws(":", x["type"], x["text"]))
     return e.attach_entities(chunks(spark, sf)).select(
-        "doc_id", BIG_CHUNK_NO, F.size("entities").cast("bigint").alias("n"), F.array_join(named, "|").alias("entities")
+        "doc_id", F.expr(BIG["chunk_no"]), F.size("entities").cast("bigint").alias("n"), F.array_join(named, "|").alias("entities")
     )

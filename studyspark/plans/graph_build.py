@@ -164,15 +164,15 @@ def _(spark, sf):
     return g.cards_to_nodes(qa_cards(spark, sf), resolved_nodes(chunks(spark, sf))[0])
 
 
-@catalog.add("e14_fallback_topic", with_views(NODES + " qa", """
+@catalog.add("e14_fallback_topic", with_views(NODES + " topic_only qa", """
 , e AS (SELECT DISTINCT card_id FROM qa JOIN resolved ON node_type = 'Entity' AND length(label) >= 10 AND contains(lower(question || chr(1) || answer || chr(1)), lower(label))),
-f AS (SELECT label FROM topics ORDER BY first_doc, first_chunk, label LIMIT 1)
+f AS (SELECT label FROM topic_only ORDER BY first_doc, first_chunk, label LIMIT 1)
 SELECT 'flashcard-' || card_id AS source, f.label AS target, 'DERIVED_FROM' AS type, CAST(0.5 AS DOUBLE) AS weight
 FROM qa, f WHERE card_id NOT IN (SELECT card_id FROM e)"""))
 def _(spark, sf):
     # Links to long entities only, so that enough cards stay without one.
-    cards, (nodes, _, topics) = qa_cards(spark, sf), resolved_nodes(chunks(spark, sf))
-    return g.fallback_topic(cards, g.cards_to_nodes(cards, nodes.filter("node_type = 'Entity' AND length(label) >= 10")), topics)
+    cards, (nodes, kept, _) = qa_cards(spark, sf), resolved_nodes(chunks(spark, sf))
+    return g.fallback_topic(cards, g.cards_to_nodes(cards, nodes.filter("node_type = 'Entity' AND length(label) >= 10")), kept)
 
 
 LINK = "CASE WHEN node_type = 'Topic' THEN 'EXPLAINS' ELSE 'DERIVED_FROM' END"
@@ -307,18 +307,12 @@ def _(spark, sf):
 
 
 @catalog.add("e19_relates_to", with_views("note_lines note_items", """
-SELECT DISTINCT a.note_id, a.i - 1 AS pos, a.p_name AS source, b.p_name AS target
-FROM note_items a JOIN note_items b ON a.note_id = b.note_id AND a.p_name <> b.p_name
- AND contains(lower(a.p_type || ' goes with ' || coalesce(a.next_name, 'nothing') || ' see ' || a.p_brand), lower(b.p_name))"""))
+SELECT a.note_id, a.p_name AS source, b.p_name AS target, 'RELATES_TO' AS type, count(DISTINCT a.i) AS places
+FROM note_items a JOIN note_items b ON a.note_id = b.note_id AND lower(a.p_name) <> lower(b.p_name)
+ AND contains(lower(a.p_type || ' goes with ' || coalesce(a.next_name, 'nothing') || ' see ' || a.p_brand), lower(b.p_name)) GROUP BY ALL"""))
 def _(spark, sf):
-    concepts = parsed_tables(spark, sf)["concepts"]
-    text = F.concat_ws(" ", "definition", F.array_join("examples", " "))
-    from studyspark.operators.substring_join import label_in_text
-    hits = label_in_text(
-        concepts.select("note_id", "pos", F.col("name").alias("source"), text.alias("text")),
-        concepts.select("note_id", F.col("name").alias("label")), ["note_id", "pos", "source"], ["note_id"],
-    )
-    return hits.filter("label <> source").select("note_id", F.col("pos").cast("bigint").alias("pos"), "source", F.col("label").alias("target"))
+    found = g.relates_to(parsed_tables(spark, sf)["concepts"])
+    return found.groupBy("note_id", "source", "target", "type").agg(F.count("*").alias("places"))
 
 
 SQL["uses"] = """
