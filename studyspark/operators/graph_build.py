@@ -104,9 +104,9 @@ def _edges(df: DataFrame, source: str, target: str, kind: str | Column, weight:
     )
 
 
-def related_by_embedding(nodes: DataFrame, threshold: float = 0.7, method: str = "auto") -> DataFrame:
+def related_by_embedding(nodes: DataFrame, threshold: float = 0.7) -> DataFrame:
     """RELATED_TO both ways between nodes (id, vector) whose vectors are similar."""
-    pairs = similar_pairs(nodes, nodes, threshold, method).filter(F.col("id_a") != F.col("id_b"))
+    pairs = similar_pairs(nodes, nodes, threshold).filter(F.col("id_a") != F.col("id_b"))
     return _edges(pairs, "id_a", "id_b", "RELATED_TO", F.col("similarity"))
 
 
@@ -184,9 +184,9 @@ def _link_type(node_type: Column) -> Column:
     return F.when(node_type == "Topic", "EXPLAINS").otherwise("DERIVED_FROM")
 
 
-def semantic_edges(cards: DataFrame, nodes: DataFrame, existing: DataFrame, threshold: float = 0.7, method: str = "auto") -> DataFrame:
+def semantic_edges(cards: DataFrame, nodes: DataFrame, existing: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Edges from cards (id, vector) to similar nodes (id, vector, node_type); one that exists already with the same type is skipped."""
-    pairs = similar_pairs(cards, nodes, threshold, method).join(nodes.select(F.col("id").alias("id_b"), "node_type"), "id_b")
+    pairs = similar_pairs(cards, nodes, threshold).join(nodes.select(F.col("id").alias("id_b"), "node_type"), "id_b")
     edges = _edges(pairs, "id_a", "id_b", _link_type(F.col("node_type")), F.col("similarity"))
     return edges.join(existing.select("source", "target", "type"), ["source", "target", "type"], "left_anti")
 

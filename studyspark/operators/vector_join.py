@@ -1,9 +1,10 @@
 """Exact similarity joins over vectors.
 
-A side whose size is checked to be small is sent to every task as one matrix. Otherwise both sides are
-cut into cells around pivot vectors. A vector is compared only with the cells its search radius
-reaches, which the triangle inequality decides without losing a pair. Cells are cut further into blocks of
-bounded size, so neither a crowded cell nor a group of equal vectors ever meets in one task.
+Both sides are cut into cells around pivot vectors, at every size alike. A vector is compared only with the
+cells its search radius reaches, which the triangle inequality decides without losing a pair. Cells are cut
+further into blocks of bounded size, so neither a crowded cell nor a group of equal vectors ever meets in one
+task: a task holds two blocks and their product, three times BLOCK_ROWS squared doubles at most beside the vectors.
+All arithmetic is in double precision.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 from studyspark.operators.paging import top_n
 from studyspark.session import cut_lineage
 
-MATRIX_BYTES = 64 * 1024 * 1024   # most a task may hold of the side that is sent whole
 BLOCK_ROWS = 2048                 # most rows of one side of a block product
 MAX_PIVOTS = 512
 SLACK = 1e-7
@@ -58,22 +58,6 @@ def _matches(left_ids, left, right_ids, right, threshold: float | None, k: int |
     return pd.DataFrame({"id_a": left_ids[i], "id_b": right_ids[j], "similarity": sims[i, j]})
 
 
-def _fits(df: DataFrame, dim: int) -> bool:
-    rows = MATRIX_BYTES // (8 * max(dim, 1))
-    return df.select("id").limit(rows + 1).count() <= rows
-
-
-def _dim(df: DataFrame) -> int:
-    row = df.select(F.size("vector").alias("d")).first()
-    return row["d"] if row else 0
-
-
-def _matrix(df: DataFrame):
-    """The small side on the driver; only called after ``_fits``."""
-    pdf = df.select("id", "vector").toPandas()
-    return df.sparkSession.sparkContext.broadcast((pdf["id"].to_numpy(), _unit(pdf["vector"])))
-
-
 def _schema(a: DataFrame, b: DataFrame) -> str:
     kind = {d.schema["id"].dataType.simpleString() for d in (a, b)}
     if len(kind) != 1:
@@ -82,34 +66,6 @@ def _schema(a: DataFrame, b: DataFrame) -> str:
     return f"id_a {t}, id_b {t}, similarity double"
 
 
-def _against_matrix(a: DataFrame, b: DataFrame, threshold, k, small_left: bool) -> DataFrame:
-    """Block products of the streamed side with the broadcast one."""
-    small = _matrix(a if small_left else b)
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = small.value
-        kept = None
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            mine, mine_ids = _unit(pdf["vector"]), pdf["id"].to_numpy()
-            if not small_left:
-                yield _matches(mine_ids, mine, ids, matrix, threshold, k)
-                continue
-            found = _matches(ids, matrix, mine_ids, mine, threshold, k)
-            if k is None:
-                yield found
-                continue
-            # Queries are the broadcast side: keep a running top k per query over the whole partition.
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values(["id_a", "similarity", "id_b"], ascending=[True, False, True]).groupby("id_a").head(k)
-        if kept is not None:
-            yield kept
-
-    streamed = b if small_left else a
-    return streamed.select("id", "vector").mapInPandas(join, _schema(a, b))
-
-
 def _pivots(df: DataFrame, rows: int) -> np.ndarray:
     count = max(1, min(MAX_PIVOTS, int(math.sqrt(rows) / 8)))
     picked = df.orderBy(F.xxhash64("id"), "id").limit(count).select("vector").collect()
@@ -122,7 +78,7 @@ def _distances(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def _home_cells(df: DataFrame, pivots) -> DataFrame:
     """Nearest pivot of every vector and the distance to it."""
-    schema = f"id {df.schema['id'].dataType.simpleString()}, vector array<float>, cell int, reach double"
+    schema = f"id {df.schema['id'].dataType.simpleString()}, vector array<double>, cell int, reach double"
 
     def assign(batches):
         for pdf in batches:
@@ -131,12 +87,12 @@ def _home_cells(df: DataFrame, pivots) -> DataFrame:
                 cell = d.argmin(1)
                 yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
 
-    return df.select("id", F.col("vector").cast("array<float>")).mapInPandas(assign, schema)
+    return df.select("id", F.col("vector").cast("array<double>")).mapInPandas(assign, schema)
 
 
 def _reached_cells(df: DataFrame, pivots, radius: np.ndarray) -> DataFrame:
     """One row per cell a vector's search radius ``eps`` can reach."""
-    schema = f"id {df.schema['id'].dataType.simpleString()}, vector array<float>, cells array<int>"
+    schema = f"id {df.schema['id'].dataType.simpleString()}, vector array<double>, cells array<int>"
     gaps = _distances(pivots.value, pivots.value)
 
     def assign(batches):
@@ -155,7 +111,7 @@ def _reached_cells(df: DataFrame, pivots, radius: np.ndarray) -> DataFrame:
                 "id": pdf["id"], "vector": pdf["vector"], "cells": [np.flatnonzero(row).astype("int32") for row in hit],
             })
 
-    found = df.select("id", F.col("vector").cast("array<float>"), "eps").mapInPandas(assign, schema)
+    found = df.select("id", F.col("vector").cast("array<double>"), "eps").mapInPandas(assign, schema)
     return found.select("id", "vector", F.explode("cells").alias("cell"))
 
 
@@ -205,44 +161,37 @@ def _distance_of(similarity: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - 2 * similarity))
 
 
-def pairs_above(a: DataFrame, b: DataFrame, threshold: float, method: str = "auto") -> DataFrame:
+def pairs_above(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """id_a, id_b, similarity of all pairs with cosine above ``threshold``. Inputs are (id, vector)."""
     if threshold < 0:
         raise ValueError("the threshold must not be negative")
     a, b = a.select("id", "vector"), b.select("id", "vector")
-    dim = _dim(b)
-    if method == "auto":
-        method = "right" if _fits(b, dim) else "left" if _fits(a, dim) else "cells"
-    if method in ("left", "right"):
-        return _against_matrix(a, b, threshold, None, method == "left")
+    if b.isEmpty():
+        return b.sparkSession.createDataFrame([], _schema(a, b))
     pivots, home, counts, radius = _cells(a, b)
     probe = cut_lineage(_reached_cells(a.withColumn("eps", _distance_of(F.lit(threshold))), pivots, radius))
     return _block_product(probe, home, counts, len(counts), threshold, None, _schema(a, b))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, method: str = "auto") -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """id_a (query), id_b, similarity, rank: the k most similar vectors of every query."""
     a, b = queries.select("id", "vector"), vectors.select("id", "vector")
-    dim = _dim(b)
-    if method == "auto":
-        method = "right" if _fits(b, dim) else "left" if _fits(a, dim) else "cells"
-    if method in ("left", "right"):
-        found = _against_matrix(a, b, None, k, method == "left")
-    else:
-        schema = _schema(a, b)
-        pivots, home, counts, radius = _cells(a, b)
-        # First look only at the query's own cell. The k-th similarity found there bounds the radius
-        # within which the true k best must lie.
-        own = _home_cells(a, pivots).select("id", "vector", "cell")
-        first = _block_product(own, home, counts, len(counts), None, k, schema)
-        bound = (
-            top_n(first, ["id_a"], [F.desc("similarity"), F.col("id_b")], k)
-            .groupBy("id_a").agg(F.count("*").alias("n"), F.min("similarity").alias("kth"))
-        )
-        eps = F.when(F.col("n") >= k, _distance_of(F.col("kth"))).otherwise(F.lit(2.0))
-        limited = a.join(bound.withColumnRenamed("id_a", "id"), "id", "left").select(
-            "id", "vector", F.coalesce(eps, F.lit(2.0)).alias("eps")
-        )
-        probe = cut_lineage(_reached_cells(limited, pivots, radius))
-        found = _block_product(probe, home, counts, len(counts), None, k, schema)
+    schema = _schema(a, b)
+    if b.isEmpty():
+        return b.sparkSession.createDataFrame([], schema + ", rank int")
+    pivots, home, counts, radius = _cells(a, b)
+    # First look only at the query's own cell. The k-th similarity found there bounds the radius
+    # within which the true k best must lie.
+    own = _home_cells(a, pivots).select("id", "vector", "cell")
+    first = _block_product(own, home, counts, len(counts), None, k, schema)
+    bound = (
+        top_n(first, ["id_a"], [F.desc("similarity"), F.col("id_b")], k)
+        .groupBy("id_a").agg(F.count("*").alias("n"), F.min("similarity").alias("kth"))
+    )
+    eps = F.when(F.col("n") >= k, _distance_of(F.col("kth"))).otherwise(F.lit(2.0))
+    limited = a.join(bound.withColumnRenamed("id_a", "id"), "id", "left").select(
+        "id", "vector", F.coalesce(eps, F.lit(2.0)).alias("eps")
+    )
+    probe = cut_lineage(_reached_cells(limited, pivots, radius))
+    found = _block_product(probe, home, counts, len(counts), None, k, schema)
     return top_n(found, ["id_a"], [F.desc("similarity"), F.col("id_b")], k)

@@ -26,8 +26,8 @@ def latest_embedding(df: DataFrame) -> DataFrame:
     return df.groupBy("entity_type", "entity_id").agg(F.max("id").alias("id"), F.max_by("vector", "id").alias("vector"))
 
 
-def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 5, method: str = "auto") -> DataFrame:
-    return vector_join.top_k(queries, vectors, k, method)
+def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    return vector_join.top_k(queries, vectors, k)
 
 
 def _copies(df: DataFrame) -> DataFrame:
@@ -35,21 +35,21 @@ def _copies(df: DataFrame) -> DataFrame:
     return df.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-def similar_groups(a: DataFrame, b: DataFrame, threshold: float = 0.7, method: str = "auto") -> DataFrame:
+def similar_groups(a: DataFrame, b: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Similar pairs between groups of equal vectors: id_a, id_b, similarity, copies_a, copies_b."""
     ga, gb = _copies(a), _copies(b)
-    pairs = vector_join.pairs_above(ga, gb, threshold, method)
+    pairs = vector_join.pairs_above(ga, gb, threshold)
     return (
         pairs.join(ga.select(F.col("id").alias("id_a"), F.col("copies").alias("copies_a")), "id_a")
         .join(gb.select(F.col("id").alias("id_b"), F.col("copies").alias("copies_b")), "id_b")
     )
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.7, method: str = "auto") -> DataFrame:
+def similar_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.7) -> DataFrame:
     """id_a, id_b, similarity of all pairs above the threshold. Equal vectors are compared once and
     the pairs of their copies follow by joins on the group."""
     ga, gb = _copies(a), _copies(b)
-    pairs = vector_join.pairs_above(ga, gb, threshold, method)
+    pairs = vector_join.pairs_above(ga, gb, threshold)
 
     def members(df: DataFrame, groups: DataFrame, side: str) -> DataFrame:
         return df.join(groups.select("vector", F.col("id").alias(f"id_{side}")), "vector").select(

@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyspark.session import shared_dir
+from studyspark.session import scratch_path
+
 
+def run_available(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
+    """Process all available input, write every micro-batch to ``folder``, and read it back with its ``batch_id``.
 
-def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Process all available input, write every micro-batch to the shared folder, and read it back with its ``batch_id``.
-    Output and stream checkpoint both live in that folder, so a restarted query goes on where it stopped."""
+    Output and stream checkpoint both live in that folder, on storage all executors share: a later call with the same
+    folder goes on where the last one stopped and reads what both wrote. Without a folder the run is a new one, in the
+    shared folder for intermediate tables. A source without input gives an empty table.
+    """
     spark: SparkSession = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    base = folder or scratch_path(spark, f"stream-{name}")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
 
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/out/batch_id=-1")    # so that there is a table
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
-    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{base}/out")
+    return spark.read.schema(schema).parquet(f"{base}/out")
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
