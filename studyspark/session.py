@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -98,6 +99,13 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now instead of at its next periodic collection. Files that
+    a DataFrame in use may still need stay."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: computed once, safe from lost executors, with a short lineage."""
     spark = df.sparkSession
