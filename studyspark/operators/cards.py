@@ -15,7 +15,6 @@ VARIANTS = ("heuristic", "templates")
 MIN_CHUNK = 50          # the template generator skips shorter chunks
 PER_CHUNK = 3
 MAX_DECK, MIN_DECK = 50, 5
-MAX_QUIZ = 20
 
 
 def _check(variant: str) -> None:
@@ -280,10 +279,10 @@ def quiz_type(raw: Column) -> Column:
     return F.when(raw.isin("mcq", "MCQ"), "mcq").when(raw.isin("true_false", "TRUE_FALSE", "tf"), "true_false").otherwise("short_answer")
 
 
-def normalize_quiz(quizzes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Questions (quiz_id, idx, ..) with known types and difficulties, at most 20 per quiz, and the total points.
+def normalize_quiz(quizzes: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Questions (quiz_id, idx, ..) with known types and difficulties, the first ``limit`` of a quiz if given, and the total points.
     Quizzes are (quiz_id, questions array)."""
-    rows = quizzes.select("quiz_id", F.posexplode(F.slice("questions", 1, MAX_QUIZ)).alias("idx", "x")).select(
+    rows = quizzes.select("quiz_id", F.posexplode("questions" if limit is None else F.slice("questions", 1, limit)).alias("idx", "x")).select(
         "quiz_id", "idx", F.col("x.question").alias("question"), quiz_type(F.col("x.type")).alias("type"),
         F.col("x.correct_answer").alias("correct_answer"),
         F.when(F.col("x.difficulty").isin("easy", "medium", "hard"), F.col("x.difficulty")).otherwise("medium").alias("difficulty"),

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyspark.functions import fixed as fx
 from studyspark.functions.text import NL, strip, text_confidence
 from studyspark.operators.paging import top_n
 
-MAX_PAGES = 10
-
 
 def with_confidence(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", text_confidence(F.col("text")))
 
 
-def merge_pages(pages: DataFrame, limit: int = MAX_PAGES) -> DataFrame:
-    """doc_id, text, confidence, page_count: the first ``limit`` pages in order, page marks between them."""
-    first = top_n(pages, ["doc_id"], [F.col("page_no")], limit, rank="page_num")
+def merge_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """doc_id, text, confidence, page_count: all pages in order, or the first ``limit``, with page marks between them."""
+    if limit is None:
+        first = pages.withColumn("page_num", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")))
+    else:
+        first = top_n(pages, ["doc_id"], [F.col("page_no")], limit, rank="page_num")
     marked = F.transform(
         F.array_sort(F.collect_list(F.struct("page_num", "text"))),
         lambda p: F.when(p["page_num"] == 1, p["text"]).otherwise(

@@ -216,26 +216,26 @@ def _(spark, sf):
 
 
 @catalog.add("h13_integrity_audit", with_views("users notes", """
-, c AS (SELECT l_orderkey * 10 + l_linenumber AS card_id, l_orderkey AS note_id, l_suppkey AS user_id FROM lineitem),
-o AS (SELECT * FROM notes WHERE note_id % 11 <> 0)
+, c AS (SELECT l_orderkey * 10 + l_linenumber AS card_id, CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END AS note_id, l_suppkey AS user_id FROM lineitem),
+o AS (SELECT * REPLACE (CASE WHEN note_id % 7 = 0 THEN -user_id ELSE user_id END AS user_id) FROM notes)
 SELECT 'note_without_user' AS "check", CAST(note_id AS VARCHAR) AS "key", CAST(user_id AS VARCHAR) AS detail
-FROM o WHERE user_id NOT IN (SELECT user_id FROM users WHERE is_active)
-UNION ALL SELECT 'subject_without_user', name, CAST(user_id AS VARCHAR) FROM o WHERE user_id NOT IN (SELECT user_id FROM users WHERE is_active)
+FROM o WHERE user_id NOT IN (SELECT user_id FROM users)
+UNION ALL SELECT 'subject_without_user', name, CAST(user_id AS VARCHAR) FROM o WHERE user_id NOT IN (SELECT user_id FROM users)
 UNION ALL SELECT 'card_without_note', CAST(card_id AS VARCHAR), CAST(note_id AS VARCHAR) FROM c WHERE note_id NOT IN (SELECT note_id FROM o)
-UNION ALL SELECT 'card_without_user', CAST(card_id AS VARCHAR), CAST(user_id AS VARCHAR) FROM c WHERE user_id NOT IN (SELECT user_id FROM users WHERE is_active)
+UNION ALL SELECT 'card_without_user', CAST(card_id AS VARCHAR), CAST(user_id AS VARCHAR) FROM c WHERE user_id NOT IN (SELECT user_id FROM users)
 UNION ALL SELECT 'card_on_foreign_note', CAST(card_id AS VARCHAR), CAST(o.user_id AS VARCHAR) FROM c JOIN o USING (note_id) WHERE o.user_id <> c.user_id
 UNION ALL SELECT 'duplicate_subject', CAST(user_id AS VARCHAR) || '|' || name, CAST(count(*) AS VARCHAR) FROM o GROUP BY user_id, name HAVING count(*) > 1
-UNION ALL SELECT 'duplicate_email', email, CAST(count(*) AS VARCHAR) FROM users WHERE is_active GROUP BY email HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_email', email, CAST(count(*) AS VARCHAR) FROM users GROUP BY email HAVING count(*) > 1
 UNION ALL SELECT 'duplicate_external_id', CAST(card_id AS VARCHAR), CAST(count(*) AS VARCHAR) FROM c GROUP BY card_id HAVING count(*) > 1"""))
 def _(spark, sf):
-    # The tables are sound, so broken ones are derived from them: inactive users and every
-    # eleventh note count as deleted, and the card owner is taken from another key column.
+    # The tables are sound, so broken references are derived from them: the owner of every seventh note and the note
+    # of every eleventh order's cards don't exist, and the card owner is taken from another key column.
     cards = read_table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("card_id"),
-        F.col("l_orderkey").alias("note_id"), F.col("l_suppkey").alias("user_id"),
+        F.expr("CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END").alias("note_id"), F.col("l_suppkey").alias("user_id"),
     ).withColumn("external_id", F.col("card_id"))
-    notes = v.notes(spark, sf).filter("note_id % 11 <> 0")
-    return study.audit(v.users(spark, sf).filter("is_active"), notes, notes, cards)
+    notes = v.notes(spark, sf).withColumn("user_id", F.expr("CASE WHEN note_id % 7 = 0 THEN -user_id ELSE user_id END"))
+    return study.audit(v.users(spark, sf), notes, notes, cards)
 
 
 @catalog.add("h14_cascade", with_views("users notes subjects cards reviews", """
@@ -314,14 +314,14 @@ def _(spark, sf):
 
 @catalog.add("h17_library_search", with_views("notes reviews", """
 , lib AS (
-  SELECT 'note' AS kind, CAST(doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS text FROM documents
+  SELECT 'note' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents
   UNION ALL SELECT 'flashcard', CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), text FROM conversations WHERE role = 'user'
   UNION ALL SELECT 'session', CAST(review_id AS VARCHAR),
     CAST(quality AS VARCHAR) || ' ' || CAST(time_spent AS VARCHAR) || ' ' || strftime(reviewed_at, '%Y-%m-%d %H:%M:%S') FROM reviews)
 SELECT kind, id, text FROM lib WHERE contains(lower(text), 'an') OR contains(lower(text), '01-0')
   AND NOT contains(lower(text), 'an')"""))
 def _(spark, sf):
-    notes = read_table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    notes = read_table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), F.col("text").alias("title"))
     cards = read_table(spark, sf, "conversations").filter("role = 'user'").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("card_id"), F.col("text").alias("question")
     )

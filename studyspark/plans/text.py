@@ -376,7 +376,7 @@ WITH p AS (SELECT conv_id, text, {sql_confidence("text")} AS confidence,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
 SELECT conv_id AS doc_id, string_agg(CASE WHEN n = 1 THEN text ELSE chr(10) || chr(10) || '--- PAGE ' || CAST(n AS VARCHAR) || ' ---' || chr(10) || chr(10) || text END, '' ORDER BY n) AS text,
        round(avg(confidence), 6) AS confidence, count(*) AS page_count
-FROM p WHERE n <= 10 GROUP BY conv_id""")
+FROM p GROUP BY conv_id""")
 def _(spark, sf):
     pages = read_table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
     return ocr.merge_pages(ocr.with_confidence(pages)).withColumn("confidence", F.round("confidence", 6))
@@ -402,7 +402,7 @@ def _(spark, sf):
 
 
 OCR_SQL = f"""
-, d AS (SELECT doc_id, md5(text) AS text, {sql_confidence("text")} AS c FROM documents),
+, d AS (SELECT doc_id, text, {sql_confidence("text")} AS c FROM documents),
 k AS (SELECT doc_id, text,
     CASE doc_id % 5 WHEN 0 THEN 'failed' WHEN 4 THEN 'none' ELSE 'ok' END AS s1, c - CAST(doc_id % 4 AS DOUBLE) / 10 AS c1,
     CASE doc_id % 3 WHEN 0 THEN 'failed' ELSE 'ok' END AS s2, c - CAST(doc_id % 6 AS DOUBLE) / 10 AS c2,
@@ -421,7 +421,7 @@ r AS (SELECT doc_id AS note_id, b3 AS confidence, coalesce(u3, 'none') AS servic
 
 def ocr_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Three recognition attempts per document; some fail, some never ran."""
-    base = ocr.with_confidence(documents(spark, sf)).select("doc_id", F.md5("text").alias("text"), "confidence")
+    base = ocr.with_confidence(documents(spark, sf)).select("doc_id", "text", "confidence")
     attempts = F.array(*[
         F.struct(F.lit(name).alias("service"), state.alias("state"), (F.col("confidence") - (F.col("doc_id") % m).cast("double") / 10).alias("confidence"))
         for name, state, m in zip(fx.OCR_SERVICES, (
