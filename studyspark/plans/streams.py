@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from studyspark.functions import fixed as fx
 from studyspark.plans import telemetry as pt
 from studyspark.plans import views as v
 from studyspark.plans.registry import Catalog
@@ -42,11 +43,13 @@ def _(spark, sf):
                         F.col("interval").cast("bigint").alias("interval"), F.round("ef", 6).alias("ef"), "reviews")
 
 
-@catalog.add("i5_task_state_stream")
+@catalog.add("i5_task_state_stream", with_views("tasks step_rows", f"""
+SELECT task_id, CAST(coalesce(sum(CASE step {" ".join(f"WHEN '{n}' THEN {w}" for n, w in fx.STEP_WEIGHTS)} END) FILTER (WHERE done_at IS NOT NULL), 0) AS BIGINT) AS progress,
+  count(failed_at) AS failed_steps FROM step_rows GROUP BY task_id"""))
 def _(spark, sf):
     stream = pt.task_events(events_stream(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp"))
     state = latest(run_available(st.task_state_stream(stream, "60 days"), "update", "tasks"), ["task_id"])
-    return state.select("task_id", "progress", "failed_steps")
+    return state.select("task_id", F.col("progress").cast("bigint").alias("progress"), F.col("failed_steps").cast("bigint").alias("failed_steps"))
 
 
 @catalog.add("i13_over_limit_stream", """

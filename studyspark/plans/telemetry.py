@@ -13,10 +13,10 @@ from studyspark.sources.tables import read_table
 
 catalog = Catalog()
 STEPS = [name for name, _ in fx.STEP_WEIGHTS]
-AS_OF = "2024-01-28 00:00:00"
+AS_OF = "2024-01-15 00:00:00"
 
 SQL["tasks"] = f"""
-  SELECT user_id AS task_id, {STEPS}[event_id % 8 + 1] AS step, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
+  SELECT event_id // 8 AS task_id, {STEPS}[event_id % 8 + 1] AS step, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
     CASE WHEN event_type = 'error' THEN 'e' || CAST(event_id AS VARCHAR) END AS error, ts, event_id FROM events"""
 SQL["step_rows"] = """
   SELECT task_id, step, min(ts) FILTER (WHERE status = 'completed') AS done_at, arg_min(error, ts) FILTER (WHERE status = 'failed') AS first_error,
@@ -34,7 +34,7 @@ def task_events(events: DataFrame) -> DataFrame:
     step = F.get(F.array(*[F.lit(s) for s in STEPS]), (F.col("event_id") % 8).cast("int"))
     failed = F.col("event_type") == "error"
     return events.select(
-        F.col("user_id").alias("task_id"), step.alias("step"), F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.expr("event_id div 8").alias("task_id"), step.alias("step"), F.when(failed, "failed").otherwise("completed").alias("status"),
         F.when(failed, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"), "ts", "event_id",
     )
 
