@@ -22,9 +22,13 @@ catalog = Catalog()
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunk table with entities. Graph construction reads it several times, so it is written once."""
-    rows = attach_entities(plain_chunks(spark, sf))
-    return cut_lineage(rows.withColumn("heading_level", F.length(F.regexp_extract("text", "^(#+)", 1))))
+    """The chunk table with entities, written once, for queries that read it several times."""
+    return cut_lineage(attach_entities(headed_chunks(spark, sf)))
+
+
+def headed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk table without entities, for queries that need none: only the columns in use are computed."""
+    return plain_chunks(spark, sf).withColumn("heading_level", F.length(F.regexp_extract("text", "^(#+)", 1)))
 
 
 PARTS = r"string_split(regexp_replace(c.text, '([.!?])[\t-\r ]+', '\1' || chr(10), 'g'), chr(10))"
@@ -88,12 +92,12 @@ def _(spark, sf):
     SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc_id, chunk_no) AS k FROM chunks WHERE type = 'list') WHERE k <= 10 GROUP BY topic)
 SELECT label, description, coalesce(key_points, '') AS key_points FROM topics LEFT JOIN p USING (label)"""))
 def _(spark, sf):
-    return g.topic_nodes(chunks(spark, sf)).select("label", "description", F.array_join("key_points", "|").alias("key_points"))
+    return g.topic_nodes(headed_chunks(spark, sf)).select("label", "description", F.array_join("key_points", "|").alias("key_points"))
 
 
 @catalog.add("e3_entity_nodes", with_views(TYPED + " entities", " SELECT label, entity_type FROM entities"))
 def _(spark, sf):
-    return g.entity_nodes(chunks(spark, sf)).select("label", "entity_type")
+    return g.entity_nodes(attach_entities(headed_chunks(spark, sf))).select("label", "entity_type")
 
 
 @catalog.add("e4_definitions", with_views(CONCEPTS, " SELECT label, definition FROM concepts"))
@@ -148,7 +152,7 @@ def _(spark, sf):
 
 @catalog.add("e11_formula_nodes", with_views(TYPED + " spans", " SELECT DISTINCT formula AS label, 'Formula' AS node_type FROM spans"))
 def _(spark, sf):
-    return g.formula_nodes(chunks(spark, sf))
+    return g.formula_nodes(headed_chunks(spark, sf))
 
 
 @catalog.add("e12_explains_edges", with_views(NODES + " spans", """
