@@ -8,8 +8,10 @@ Strings that spell a special token are ordinary text, so no document can forge a
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,13 @@ from tokenizers import Tokenizer
 
 from studyspark.llm.batches import sliced
 
-#: Words and parts remembered per worker before the memory starts afresh.
-REMEMBERED = 400_000
+#: Words remembered per worker before that memory starts afresh; parts are remembered in two such generations.
+REMEMBERED = 200_000
 #: The id that ends each document.
 END_ID = 1
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 # The tokenizer file's split pattern, spelled out for lower-case Latin-1 text.
 _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -40,68 +43,68 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _words(text: str) -> list[str]:
+    """The words of a text. Cutting at any white space is the same to the tokenizer, which drops it, and is faster; but
+    ``split`` also cuts at four separators that the tokenizer takes for characters."""
+    return _WORD.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
+
+
 class WordEncoder:
-    """Ids of texts. Remembers the ids of words and of their parts."""
+    """Ids of texts. Remembers the ids of words and of their parts, as plain bytes."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.bounds = np.zeros(REMEMBERED + 1, np.int64)
-
-    def _ids_of(self, word: str) -> list[int]:
-        if not word.isascii() and max(word) > "\xff":
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in _PART.findall(word.lower()):
-            known = self.parts.get(part)
-            if known is None:
-                letters = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
-                known = [t.id for t in self.model.tokenize(letters)]
-                if len(self.parts) < REMEMBERED:
-                    self.parts[part] = known
-            out += known
-        return out
+        self.ids = bytearray()
+        self.bounds = array("q", [0])
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part that is not in the younger generation."""
+        known = self.older.get(part)
+        if known is None:
+            letters = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
+            known = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(self.parts) >= REMEMBERED:      # parts in use pass over to the younger generation
+            self.older, self.parts = self.parts, {}
+        self.parts[part] = known
+        return known
 
     def _learn(self, word: str) -> int:
-        code, ids = len(self.words), self._ids_of(word)
-        first = int(self.bounds[code])
-        if first + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-        self.ids[first:first + len(ids)] = ids
-        self.bounds[code + 1] = first + len(ids)
-        self.words[word] = code
+        if word.isascii() or max(word) <= "\xff":
+            for part in _PART.findall(word.lower()):
+                self.ids += self.parts.get(part) or self._part(part)
+        else:
+            self.ids += array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self.words[word] = code = len(self.words)
+        self.bounds.append(len(self.ids) // 4)
         return code
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more than texts)."""
-        pieces: list[np.ndarray] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            words = _WORD.findall(text)
-            done = 0
-            while done < len(words):   # a long text in steps, so that a full memory can be emptied between them
-                step = words[done:done + REMEMBERED // 2]
-                if len(self.words) + len(step) > REMEMBERED and len(self.words.keys() | set(step)) > REMEMBERED:
-                    self.forget()
-                look, learn = self.words.get, self._learn
-                codes = np.array([c if (c := look(w)) is not None else learn(w) for w in step], np.int64)
-                sizes = self.bounds[codes + 1] - self.bounds[codes]
-                ends = np.cumsum(sizes)
-                at = np.repeat(self.bounds[codes] - (ends - sizes), sizes) + np.arange(ends[-1])
-                pieces.append(self.ids[at])
-                counts[i] += ends[-1]
-                done += len(step)
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(counts, out=bounds[1:])
-        return (np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)), bounds
+        split = [_words(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        pieces, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(words), REMEMBERED):
+            if len(self.words) > REMEMBERED:
+                self.forget()
+            look, learn = self.words.get, self._learn
+            codes = np.array([c if (c := look(w)) is not None else learn(w) for w in words[at:at + REMEMBERED]], np.int64)
+            bounds = np.frombuffer(self.bounds, np.int64)
+            first, sizes = bounds[codes], bounds[codes + 1] - bounds[codes]
+            end = np.cumsum(sizes)
+            pieces.append(np.frombuffer(self.ids, np.uint32)[np.repeat(first - (end - sizes), sizes) + np.arange(end[-1])])
+            ends.append(end + ends[-1][-1])
+            del bounds                       # a view would keep the memory from growing
+        before = np.cumsum([0] + [len(s) for s in split])
+        return np.concatenate(pieces), np.concatenate(ends)[before]
 
 
 @lru_cache(maxsize=2)
