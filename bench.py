@@ -12,7 +12,7 @@ from studyspark.session import local_session
 
 HEADLINE = (
     "b1_clean_text", "b7_chunk", "b16_corpus_profile", "b13_propagate_topic", "b20_blocks", "c5_canonical", "d4_top_k_similar",
-    "d5_similar_pairs", "e2_topic_nodes", "e21_prerequisites", "f1_related_concepts", "f5_neighbour_strength", "g10_generate_cards", "c6_fuzzy_merge", "g9_dedup_cards", "g10_generate_deck",
+    "d5_similar_pairs", "e2_topic_nodes", "e21_prerequisites", "f1_related_concepts", "f5_neighbour_strength", "g10_generate_cards", "c6_fuzzy_merge",
     "g16_grade", "h2_sm2_replay", "h4_due_cards", "h6_study_stats", "h10_dashboard", "h13_integrity_audit", "i1_task_state",
     "i8_trace", "i9_dedupe_by_hash",
 )
