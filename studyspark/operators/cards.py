@@ -13,8 +13,7 @@ from studyspark.operators.paging import top_n
 
 VARIANTS = ("heuristic", "templates")
 MIN_CHUNK = 50          # the template generator skips shorter chunks
-PER_CHUNK = 3
-MAX_DECK, MIN_DECK = 50, 5
+PER_CHUNK = 3           # questions asked of a chunk unless an argument says otherwise
 
 
 def _check(variant: str) -> None:
@@ -31,8 +30,8 @@ def _only(condition: Column, templates: Column) -> Column:
     return F.when(condition, templates).otherwise(F.array().cast("array<string>"))
 
 
-def select_templates(chunks: DataFrame, variant: str = "heuristic", seed: int = 42) -> DataFrame:
-    """Chunks with up to three question templates. The heuristic variant takes the first that apply, the
+def select_templates(chunks: DataFrame, variant: str = "heuristic", seed: int = 42, per_chunk: int = PER_CHUNK) -> DataFrame:
+    """Chunks with up to ``per_chunk`` question templates. The heuristic variant takes the first that apply, the
     other one draws by the least digest of chunk, template and seed."""
     _check(variant)
     entities = F.size("entities")
@@ -45,7 +44,7 @@ def select_templates(chunks: DataFrame, variant: str = "heuristic", seed: int =
             _only(kind.isin("paragraph", "heading"), _templates(variant, "application", 1)),
         )
         picked = F.when(F.size(chosen) > 0, chosen).otherwise(_templates(variant, "definition", 2))
-        return chunks.withColumn("templates", F.slice(F.array_distinct(picked), 1, PER_CHUNK))
+        return chunks.withColumn("templates", F.slice(F.array_distinct(picked), 1, per_chunk))
     chosen = F.concat(
         _templates(variant, "definition"),
         _only(F.col("has_formula"), _templates(variant, "formula")),
@@ -57,7 +56,7 @@ def select_templates(chunks: DataFrame, variant: str = "heuristic", seed: int =
     drawn = F.array_sort(F.transform(
         chosen, lambda x: F.struct(F.md5(F.concat_ws("|", place, x, F.lit(str(seed)))).alias("k"), x.alias("t"))
     ))
-    return chunks.withColumn("templates", F.transform(F.slice(drawn, 1, PER_CHUNK), lambda x: x["t"]))
+    return chunks.withColumn("templates", F.transform(F.slice(drawn, 1, per_chunk), lambda x: x["t"]))
 
 
 def _fill(template: Column, values: dict[str, Column]) -> Column:
@@ -250,19 +249,20 @@ def cards_from_questions(questions: DataFrame) -> DataFrame:
 
 def assemble_deck(extracted: DataFrame, generated: DataFrame, low: int = 0, high: int = 5, count: int | None = None, seed: int = 42) -> DataFrame:
     """Both kinds of cards per note within the difficulty range, in a seeded shuffle order (``shuffle_key``). Given a
-    ``count``, at most that many, and never more than 50. Cards are (note_id, card_id, difficulty, source_type, ..)."""
+    ``count``, at most that many. Cards are (note_id, card_id, difficulty, source_type, ..)."""
     every = extracted.unionByName(generated).filter(F.col("difficulty").between(low, high)).withColumn(
         "shuffle_key", F.md5(F.concat_ws("|", F.col("card_id").cast("string"), F.lit(str(seed))))
     )
     if count is None:
         return every
-    return top_n(every, ["note_id"], [F.col("shuffle_key"), F.col("card_id")], min(count, MAX_DECK))
+    return top_n(every, ["note_id"], [F.col("shuffle_key"), F.col("card_id")], count)
 
 
-def cards_wanted(extracted: DataFrame) -> DataFrame:
-    """How many cards a note should get when no count is asked for."""
+def cards_wanted(extracted: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """How many cards a note should get when no count is asked for: as many as it has questions, within the bounds given."""
+    wanted = F.greatest(F.lit(least), F.count("*"))
     return extracted.groupBy("note_id").agg(
-        F.least(F.lit(MAX_DECK), F.greatest(F.lit(MIN_DECK), F.count("*"))).cast("bigint").alias("cards_wanted")
+        (wanted if most is None else F.least(F.lit(most), wanted)).cast("bigint").alias("cards_wanted")
     )
 
 

@@ -291,7 +291,7 @@ def _(spark, sf):
 SELECT note_id, least(50, greatest(5, count(*))) AS cards_wanted FROM deck_cards WHERE source_type = 'parsed_question' GROUP BY note_id"""))
 def _(spark, sf):
     rows = read_table(spark, sf, "lineitem").filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("note_id"))
-    return c.cards_wanted(rows)
+    return c.cards_wanted(rows, least=5, most=50)
 
 
 @catalog.add("g14_deck_stats", with_views("deck_cards deck", """
