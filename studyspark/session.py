@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -102,8 +103,10 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now instead of at its next periodic collection. Files that
     a DataFrame in use may still need stay."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):      # the driver first lets go of Python's handles, then of the plans, then of the files
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
