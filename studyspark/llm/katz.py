@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from studyspark.llm.batches import bytes_of, lowered, sliced, span_hashes, word_bounds
-from studyspark.session import remove_folder, scratch_path, written
+from studyspark.llm.batches import bytes_of, give_back, lowered, sliced, span_hashes, word_bounds
+from studyspark.session import release_shuffles, written
 
 #: Largest count with a Good-Turing discount of its own.
 K = 5
 #: Text bytes encoded as one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -80,9 +80,9 @@ class Pairs:
         self.pair_cuts = np.searchsorted(bucket[self.second], np.arange(buckets + 1))
 
 
-def _encoded(documents: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, payload, ids, held): a row per block without a bucket, its state, and a row per bucket of its pairs."""
-    schema = StructType([StructField("block", LongType()), StructField("bucket", IntegerType()), StructField("payload", BinaryType()),
+def _blocks(documents: DataFrame) -> DataFrame:
+    """(block, payload, ids, held): the distinct words, token codes and text lengths of each block of documents."""
+    schema = StructType([StructField("block", LongType()), StructField("payload", BinaryType()),
                          StructField("ids", ArrayType(documents.schema["id"].dataType)), StructField("held", ArrayType(BooleanType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,28 +95,39 @@ def _encoded(documents: DataFrame, buckets: int) -> DataFrame:
             tokens = np.empty(len(starts) + len(docs), np.uint64)
             tokens[np.arange(len(starts)) + np.repeat(docs, np.diff(rows))] = span_hashes(data, starts, ends)
             tokens[rows[1:] + docs] = END
-            lengths = np.diff(rows) + 1
             keys, codes = np.unique(tokens, return_inverse=True)
-            held = np.asarray(batch.column("held"))
-            pairs = Pairs(keys, codes, lengths, buckets)
-            counts = np.bincount(pairs.of_token[np.repeat(~held, lengths)], minlength=len(pairs.first)).astype(np.uint32)
-            names = np.append(keys, START)
-            sides, payloads = [None], [pack(keys, codes.astype(np.uint32), lengths.astype(np.uint32))]
-            for b in range(buckets):
-                w, p = slice(*pairs.word_cuts[b:b + 2]), slice(*pairs.pair_cuts[b:b + 2])
-                if w.start < w.stop:
-                    firsts, runs = np.unique(pairs.first[p], return_counts=True)
-                    sides.append(b)
-                    payloads.append(pack(keys[w], names[firsts], runs.astype(np.uint32), (pairs.second[p] - w.start).astype(np.uint32), counts[p]))
-            n = len(sides)
+            payload = pack(keys, codes.astype(np.uint32), (np.diff(rows) + 1).astype(np.uint32))
             yield pa.RecordBatch.from_arrays([
-                pa.array([block] * n, pa.int64()), pa.array(sides, pa.int32()), pa.array(payloads, pa.binary()),
-                pa.array([batch.column(0).to_pylist()] + [None] * (n - 1), pa.list_(batch.schema.field(0).type)), pa.array([held.tolist()] + [None] * (n - 1), pa.list_(pa.bool_()))], names=schema.names)
+                pa.array([block], pa.int64()), pa.array([payload], pa.binary()),
+                pa.array([batch.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)), pa.array([batch.column("held").to_pylist()], pa.list_(pa.bool_()))], names=schema.names)
             block += 1
 
     return documents.mapInArrow(run, schema)
 
 
+def _sent(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, payload): the pairs of each block and their training counts, per bucket of the second word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload, held in zip(*(batch.column(c) for c in ("block", "payload", "held"))):
+                keys, codes, lengths = unpack(payload.as_py())
+                pairs = Pairs(keys, codes.astype(np.int64), lengths.astype(np.int64), buckets)
+                train = ~np.repeat(np.array(held.as_py(), bool), lengths)
+                counts = np.bincount(pairs.of_token[train], minlength=len(pairs.first)).astype(np.uint32)
+                names = np.append(keys, START)
+                sides, payloads = [], []
+                for b in range(buckets):
+                    w, p = slice(*pairs.word_cuts[b:b + 2]), slice(*pairs.pair_cuts[b:b + 2])
+                    if w.start < w.stop:
+                        firsts, runs = np.unique(pairs.first[p], return_counts=True)
+                        sides.append(b)
+                        payloads.append(pack(keys[w], names[firsts], runs.astype(np.uint32), (pairs.second[p] - w.start).astype(np.uint32), counts[p]))
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(sides), pa.int64()), pa.array(sides, pa.int32()), pa.array(payloads, pa.binary())], names=["block", "bucket", "payload"])
+        give_back()
+
+    return blocks.select("block", "payload", "held").mapInArrow(run, "block long, bucket int, payload binary")
+
+
 def _classes(counts: np.ndarray) -> np.ndarray:
     """1..K for counts up to K, K + 1 for the rest; 0 for none."""
     return np.minimum(counts, K + 1).astype(np.int64)
@@ -125,6 +136,7 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 def _totals(buckets: int):
     """For one bucket of second words: answers to blocks, parts of the backoff weights by bucket of first word, counts of counts."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()         # what the last group left
         parts = [unpack(p) for p in group["payload"]]
         words, word_of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         firsts, first_of = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
@@ -199,6 +211,7 @@ def _scored(model: Model, buckets: int):
         columns = ["block", "bucket", "payload", "n_tokens", "n_known", "base", "part"]
         if state.empty:
             return pd.DataFrame(columns=columns, dtype=object)
+        give_back()         # what the last block left
         keys, codes, lengths = unpack(state["payload"].iloc[0])
         codes = codes.astype(np.int64)
         pairs = Pairs(keys, codes, lengths.astype(np.int64), buckets)
@@ -250,6 +263,12 @@ def _weighed(model: Model):
     return run
 
 
+def _summed(group: pd.DataFrame) -> pd.DataFrame:
+    """The sums of one block's documents over all buckets, by the document's place in the block."""
+    docs, logs = np.concatenate(group["docs"].to_list()), np.concatenate(group["logs"].to_list())
+    return pd.DataFrame({"b": [int(group["block"].iloc[0])], "more": [np.bincount(docs, logs)]})
+
+
 def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -261,29 +280,23 @@ def score(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), held.alias("held"))
-    path = scratch_path(spark, "blocks")
-    encoded = _encoded(rows, buckets)
-    encoded.withColumn("side", F.when(F.col("bucket").isNull(), "state").otherwise("pairs")).write.option("compression", "none").partitionBy("side").parquet(path)
-
-    def side(name: str) -> DataFrame:
-        return spark.read.schema(StructType([*encoded.schema, StructField("side", StringType())])).parquet(path).where(F.col("side") == name)
-
-    totals = written(side("pairs").select("block", "bucket", "payload").groupBy("bucket").applyInPandas(_totals(buckets), "kind string, block long, bucket int, payload binary"), "totals")
-    if not totals.isEmpty():
-        remove_folder(spark, f"{path}/side=pairs")       # the largest table; nothing reads it again
+    blocks = written(_blocks(rows), "blocks")
+    totals = written(_sent(blocks, buckets).groupBy("bucket").applyInPandas(_totals(buckets), "kind string, block long, bucket int, payload binary"), "totals")
+    release_shuffles(spark)         # that of the pairs is the largest
     stats = [unpack(r["payload"])[0] for r in totals.where("kind = 'stats'").select("payload").collect()]     # a few numbers per bucket
     model = Model(np.sum(stats, axis=0) if stats else np.zeros(2 * K + 6, np.int64))
 
     out = StructType([StructField("block", LongType()), StructField("bucket", IntegerType()), StructField("payload", BinaryType()),
                       StructField("n_tokens", ArrayType(LongType())), StructField("n_known", ArrayType(LongType())), StructField("base", ArrayType(DoubleType())), StructField("part", ArrayType(DoubleType()))])
     answers = totals.where("kind = 'answer'").select("block", "bucket", "payload")
-    scored = written(side("state").select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(model, buckets), out), "scored")
+    scored = written(blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(model, buckets), out), "scored")
     asks = scored.where("bucket IS NOT NULL").select(F.lit("ask").alias("kind"), "block", "bucket", "payload")
     weights = totals.where("kind = 'weight'").select("kind", F.lit(None).cast("long").alias("block"), "bucket", "payload")
     more = asks.unionByName(weights).groupBy("bucket").applyInPandas(_weighed(model), "block long, docs array<long>, logs array<double>")
-    more = more.select("block", F.explode(F.arrays_zip("docs", "logs")).alias("x")).groupBy(F.col("block").alias("b"), F.col("x.docs").alias("d")).agg(F.sum("x.logs").alias("more"))
-    named = side("state").select(F.col("block").alias("s"), "ids", "held")
-    docs = scored.where("bucket IS NULL").join(named, F.col("block") == F.col("s")).select("block", F.posexplode(F.arrays_zip("ids", "held", "n_tokens", "n_known", "base", "part")).alias("doc", "x")).select("block", "doc", "x.*")
-    return docs.join(more, (F.col("block") == F.col("b")) & (F.col("doc") == F.col("d")), "left").select(
+    more = more.groupBy("block").applyInPandas(_summed, "b long, more array<double>")
+    named = blocks.select(F.col("block").alias("s"), "ids", "held")
+    docs = scored.where("bucket IS NULL").join(named, F.col("block") == F.col("s")).join(more, F.col("block") == F.col("b"), "left") \
+        .select(F.explode(F.arrays_zip("ids", "held", "n_tokens", "n_known", "base", "part", F.coalesce("more", F.array().cast("array<double>")).alias("more"))).alias("x")).select("x.*")
+    return docs.select(
         F.col("ids").alias(id_column), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
