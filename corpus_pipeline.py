@@ -59,11 +59,13 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or s is None else pii.masked(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)])
+        return pd.Series([pii.masked(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)])
 
-    joined = _join(docs, spans, _key().eqNullSafe(F.col("_key")), "left").withColumn("_masked", mask("text", "_spans"))
-    new = {"text": F.col("_masked"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_masked").cast(docs.schema["n_chars"].dataType))}
-    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    # Only the texts that change pass through Python.
+    same = _key().eqNullSafe(F.col("_key"))
+    changed = _join(docs, spans, same, "inner").withColumn("_masked", mask("text", "_spans"))
+    new = {"text": F.col("_masked"), "n_chars": F.length("_masked").cast(docs.schema["n_chars"].dataType)}
+    return _join(docs, spans, same, "left_anti").unionByName(changed.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

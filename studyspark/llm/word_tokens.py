@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from studyspark.llm.batches import sliced
 
 #: Words remembered per worker before that memory starts afresh; parts are remembered in two such generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: The id that ends each document.
 END_ID = 1
 
