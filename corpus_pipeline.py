@@ -71,7 +71,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens, with their ids."""
     ship_package(spark)
-    return cut_packing.cut(written(word_tokens.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")), "tokens"))
+    return cut_packing.cut(written(word_tokens.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), special=True), "tokens"))
 
 
 STAGES = [("quality_rules", quality_rules), ("drop_near_duplicates", drop_near_duplicates), ("mask_personal_data", mask_personal_data), ("pack", pack)]

@@ -78,11 +78,12 @@ def position_ids(bounds: np.ndarray, window: int) -> np.ndarray:
 
 
 def pack(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW,
-         end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+         end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, special: bool = False) -> DataFrame:
     """One row per window: sequence_id; ids, the padded row of the id matrix (little-endian 32-bit); n_tokens without
     padding; cu_seqlens, cumulative segment lengths from 0; position_ids (little-endian 16-bit, 32-bit for windows of
     65,536 and more); and per segment the document's id, its ids before the segment (starts) and doc_tokens.
 
+    With ``special``, spelled special tokens get their own id, as by the library's default.
     A null text is empty and gives its end id alone. Repeated rows are packed as often as they come. Write the result
     before relying on sequence_id.
     """
@@ -113,7 +114,7 @@ def pack(documents: DataFrame, path: str, id_column: str = "doc_id", text_column
         first = TaskContext.get().partitionId() << 33
         rests: list[tuple] = []
         held = 0
-        for keys, documents in encoded_documents(batches, path, end_id):
+        for keys, documents in encoded_documents(batches, path, end_id, special):
             full: list[tuple] = []
             for doc, ids in zip(keys.to_pylist(), documents):
                 for at in range(0, len(ids), window):

@@ -37,7 +37,7 @@ def _with_crc(pieces: DataFrame) -> DataFrame:
 def op5_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Windows packed by best fit, written as matrices; one row per segment of the written windows."""
     from studyspark.llm.fit_packing import pack, pieces
-    packed = written(pack(_table(spark, folder, "documents"), _word_vocabulary()), "packed")
+    packed = written(pack(_table(spark, folder, "documents"), _word_vocabulary(), special=True), "packed")
     return _with_crc(pieces(packed))
 
 
@@ -46,7 +46,7 @@ def op10_cut_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents end to end, cut into windows; one row per piece."""
     from studyspark.llm.cut_packing import cut
     from studyspark.llm.word_tokens import tokenize
-    return _with_crc(cut(written(tokenize(_table(spark, folder, "documents"), _word_vocabulary()), "tokens")))
+    return _with_crc(cut(written(tokenize(_table(spark, folder, "documents"), _word_vocabulary(), special=True), "tokens")))
 
 
 @catalog.add("op4_byte_bpe")

@@ -1,8 +1,9 @@
 """Token ids of whole texts by a word tokenizer file, on Spark: each distinct word is merged once per worker.
 
 The tokenizer drops white space, so a text's ids are those of its words one after another. A word of Latin-1
-characters is cut and merged through the tokenizer's own model; any other goes through the whole tokenizer.
-Strings that spell a special token are ordinary text, so no document can forge a control token.
+characters is cut and merged through the tokenizer's own model; any other goes through the whole tokenizer, and so
+does, with ``special``, a word in which a special token is spelled: the library then reads it as that token's one id.
+Without ``special`` such strings are ordinary text, so no document can forge a control token.
 """
 
 from __future__ import annotations
@@ -52,9 +53,10 @@ def _words(text: str) -> list[str]:
 class WordEncoder:
     """Ids of texts. Remembers the ids of words and of their parts, as plain bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.spelled = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
@@ -78,7 +80,7 @@ class WordEncoder:
         return known
 
     def _learn(self, word: str) -> int:
-        if word.isascii() or max(word) <= "\xff":
+        if (word.isascii() or max(word) <= "\xff") and not (self.present and any(s in word for s in self.present)):
             for part in _PART.findall(word.lower()):
                 self.ids += self.parts.get(part) or self._part(part)
         else:
@@ -89,6 +91,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more than texts)."""
+        self.present = [s for s in self.spelled if any(s in t for t in texts)]       # mostly none, so that words need no search
         split = [_words(t) for t in texts]
         words = list(chain.from_iterable(split))
         pieces, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
@@ -108,13 +111,13 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, special: bool = False) -> WordEncoder:
+    return WordEncoder(path, special)
 
 
-def encoded_documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def encoded_documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool = False) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """For each bounded slice of (id, text) rows: the ids column and each row's token ids with the end id."""
-    encoder = word_encoder(path)
+    encoder = word_encoder(path, special)
     for batch in sliced(batches, "text"):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         ids, bounds = encoder.encode(texts)
@@ -122,16 +125,18 @@ def encoded_documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int)
         yield batch.column(0), [np.concatenate([ids[a:b], end]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def tokenize(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
+def tokenize(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID,
+             special: bool = False) -> DataFrame:
     """(id, ids, n_tokens, part, before) per row: ids as little-endian 32-bit integers ending in ``end_id``, the
-    task that made the row, and the tokens before it in that task. Write the result before relying on part and before."""
+    task that made the row, and the tokens before it in that task. Write the result before relying on part and before.
+    With ``special``, spelled special tokens get their own id, as by the library's default."""
     rows = documents.select(F.col(id_column), F.col(text_column).cast("string").alias("text"))
     schema = StructType([rows.schema[0], StructField("ids", BinaryType()), StructField("n_tokens", LongType()),
                          StructField("part", IntegerType()), StructField("before", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for keys, documents in encoded_documents(batches, path, end_id):
+        for keys, documents in encoded_documents(batches, path, end_id, special):
             sizes = np.array([len(d) for d in documents], np.int64)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())

@@ -52,6 +52,37 @@ def test_word_ids_equal_library(texts, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+SPELLED = ["a <|endoftext|> b", "x<|endoftext|>y", "<|ENDOFTEXT|> <|endoftext|><|startoftext|>", "é<|startoftext|>e\u0301 中<|endoftext|>", "<| endoftext|>", "\x1c<|endoftext|>\x85I'LL"]
+
+
+def test_special_tokens_as_by_an_unchanged_library(spark, texts, monkeypatch):
+    library = Tokenizer.from_file(WORDS)
+    rows = texts + SPELLED
+    want = [library.encode(t, add_special_tokens=False).ids for t in rows]
+    assert want[len(texts)] == [320, 49407, 321]
+    for remembered in (400_000, 20):
+        monkeypatch.setattr(word_tokens, "REMEMBERED", remembered)
+        ids, at = word_tokens.WordEncoder(WORDS, special=True).encode(rows)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_queries_read_special_tokens_as_the_library(spark, texts):
+    import corpus_pipeline
+    from studyspark.llm.queries import op5_fit_packing, op10_cut_packing
+    rows = texts[:20] + SPELLED
+    folder = scratch_path(spark, "input")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    library = Tokenizer.from_file(WORDS)
+    want = {i: np.array(library.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes() for i, t in enumerate(rows)}
+    pieces_of = {r.doc_id: bytes(r.ids) for r in corpus_pipeline.pack(spark, docs, folder).where("length = doc_tokens").collect()}
+    assert len(pieces_of) > 20 and all(ids == want[i] for i, ids in pieces_of.items())
+    for query in (op5_fit_packing, op10_cut_packing):
+        for r in query(spark, folder).collect():
+            assert r.doc_tokens * 4 == len(want[r.doc_id])
+            assert r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start * 4:(r.start + r.length) * 4])
+
+
 def test_best_fit():
     rng = random.Random(2)
     for most in (1, 7, 64):
