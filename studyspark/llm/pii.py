@@ -1,14 +1,18 @@
 """Personal data in texts: fixed base patterns, then identifiers found by bootstrapped contexts.
 
 The base spans are seeds. The words around them give lexical patterns; Spark scores the graph of patterns and
-instances in rounds, and patterns that end with high confidence mark further identifiers that no base pattern knows.
+instances in rounds, and patterns that end with high confidence mark further identifiers that no base pattern knows:
+words and runs of words with digits, written-out addresses, and, right after two words that keep their confidence when
+every word behind them counts, any word that stands mostly there.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +41,13 @@ _DIGIT = re.compile(r"[0-9]")
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 #: Characters of an identifier that only its context gives away, and the digits it must hold.
 LEAST_LENGTH, LEAST_DIGITS, MOST_LENGTH = 6, 4, 64
+# Groups of an identifier in several words: digits in each, or a few capitals between such words.
+_JOINT = re.compile(r"[\x20\t]{1,2}(?:[-\u2013./()][\x20\t]{1,2})?")
+_CAPITALS = re.compile(r"[A-Z]{1,4}")
+_SPELT = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)+")
+_LEFT, _RIGHT = "([{<\"'=:,;#", ")]}>\"'.,;:!?"
+#: Different words that may follow a context besides its seeds, per seed, for words of any shape to be found there.
+OTHERS = 2
 #: Characters looked at on each side for the neighbouring words; words are short, so this holds two of them.
 _NEAR = 80
 
@@ -77,12 +88,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _plain(word: str) -> str:
+    return _DIGIT.sub("0", _TRIM.sub("", word).lower())
+
+
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
     """The two words before and the word after a span, lower-cased, without outer punctuation; digits as 0."""
-    def plain(word: str) -> str:
-        return _DIGIT.sub("0", _TRIM.sub("", word).lower())
     before, after = text[max(0, start - _NEAR):start].split()[-2:], text[end:end + _NEAR].split()[:1]
-    return " ".join(plain(w) for w in before), plain(after[0]) if after else ""
+    return " ".join(_plain(w) for w in before), _plain(after[0]) if after else ""
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
@@ -99,8 +112,8 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[i
         found = _WORD.match(text, digit.start())
         last = found.end()
         word = text[a:last]
-        left = len(word) - len(word.lstrip("([{<\"'=:,;#"))
-        right = len(word.rstrip(")]}>\"'.,;:!?"))
+        left = len(word) - len(word.lstrip(_LEFT))
+        right = len(word.rstrip(_RIGHT))
         if right - left < LEAST_LENGTH or right - left > MOST_LENGTH or sum(c.isdigit() for c in word) < LEAST_DIGITS:
             continue
         start, end = a + left, a + right
@@ -111,30 +124,154 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[i
             yield start, end
 
 
+def _free(spans: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span meets none of ``spans``."""
+    held = sorted(spans)
+    starts, reach = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+    return lambda a, b: not (k := bisect_left(starts, b)) or reach[k - 1] <= a
+
+
+def runs(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of identifiers in several words: digit-bearing words one after another, with a few capitals between them at
+    most, and written-out addresses; as long as ``candidates`` and clear of ``taken`` spans."""
+    clear = _free((a, b) for _, a, b in taken)
+    if "dot" in text:
+        yield from (m.span() for m in _SPELT.finditer(text) if m.end() - m.start() <= MOST_LENGTH and clear(*m.span()))
+    group: list[re.Match] = []               # words of the run so far; the last may be capitals that still wait for digits
+
+    def closed() -> Iterator[tuple[int, int]]:
+        while group and not _DIGIT.search(group[-1][0]):
+            group.pop()
+        if len(group) < 2:
+            return
+        a, b = group[0].start(), group[-1].end()
+        word = text[a:b]
+        start, end = a + len(word) - len(word.lstrip(_LEFT)), a + len(word.rstrip(_RIGHT))
+        if start > a and text[start - 1] == "(" and text.count(")", start, end) > text.count("(", start, end):
+            start -= 1
+        if end < b and text[end] == ")" and text.count("(", start, end) > text.count(")", start, end):
+            end += 1
+        if LEAST_LENGTH <= end - start <= MOST_LENGTH and len(_DIGIT.findall(text[start:end])) >= LEAST_DIGITS:
+            yield start, end
+    at = 0
+    while first := _DIGIT.search(text, at):
+        a = first.start()
+        while a > at and not text[a - 1].isspace():
+            a -= 1
+        group, word = [], _WORD.match(text, a)
+        at = word.end()
+        while word and clear(*word.span()):
+            group.append(word)
+            at = word.end()
+            joint = _JOINT.match(text, at) if word[0][-1] not in ",;:!?." else None
+            word = _WORD.match(text, joint.end()) if joint else None
+            if word and not (_DIGIT.search(word[0]) or _CAPITALS.fullmatch(word[0]) and _DIGIT.search(group[-1][0])):
+                word = None
+        yield from closed()
+
+
 def mentions(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, base, marks) per row. base: the base spans. marks: a (start, end, seed, instance, before, after) for each base
-    span and each candidate. A null text is empty."""
+    """(id, digest, base, marks) per row. digest: of the text. base: the base spans. marks: a (start, end, seed, instance,
+    before, after) for each base span, candidate and run. A null text is empty."""
     rows = documents.select(F.col(id_column).alias("key"), F.col(text_column).cast("string").alias("text"))
     span = [StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]
     mark = [StructField("start", LongType()), StructField("end", LongType()), StructField("seed", BooleanType()), StructField("instance", StringType()),
             StructField("before", StringType()), StructField("after", StringType())]
-    schema = StructType([rows.schema[0], StructField("base", ArrayType(StructType(span))), StructField("marks", ArrayType(StructType(mark)))])
+    schema = StructType([rows.schema[0], StructField("digest", StringType()), StructField("base", ArrayType(StructType(span))), StructField("marks", ArrayType(StructType(mark)))])
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     mark_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("instance", pa.string()), ("before", pa.string()), ("after", pa.string())]))
 
     def found(text: str) -> tuple[list[dict], list[dict]]:
         base = base_spans(text)
         marks = []
-        spans = [(a, b, True) for _, a, b in base] + [(a, b, False) for a, b in (candidates(text, base) if _DIGIT.search(text) else ())]
+        other = dict.fromkeys([*(candidates(text, base) if _DIGIT.search(text) else ()), *runs(text, base)])
+        spans = [(a, b, True) for _, a, b in base] + [(a, b, False) for a, b in other]
         for a, b, seed in spans:
             before, after = _context(text, a, b)
-            marks.append({"start": a, "end": b, "seed": seed, "instance": hashlib.blake2b(text[a:b].encode("utf-8", "replace"), digest_size=12).hexdigest(), "before": before, "after": after})
+            marks.append({"start": a, "end": b, "seed": seed, "instance": _digest(text[a:b]), "before": before, "after": after})
         return [{"kind": k, "start": a, "end": b} for k, a, b in base], marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            both = [found(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in both], span_type), pa.array([m for _, m in both], mark_type)], names=schema.names)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            both = [found(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(t) for t in texts], pa.string()), pa.array([b for b, _ in both], span_type), pa.array([m for _, m in both], mark_type)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def _behind(text: str, known: dict[str, str], contexts: dict[str, int], lasts: set[str]) -> Iterator[tuple[str, int, int]]:
+    """(context, start, end) of every word right after two words that are a context, clear of base spans and of what
+    ``mentions`` marks. ``known`` remembers plain words; ``lasts`` are the last words of the contexts."""
+    words = list(re.finditer(r"\S+", text))
+    plain = []
+    for m in words:
+        if (p := known.get(m[0])) is None:
+            known[m[0]] = p = _plain(m[0])
+        plain.append(p)
+    at = [i for i in range(2, len(words)) if plain[i - 1] in lasts and f"{plain[i - 2]} {plain[i - 1]}" in contexts]
+    if not at:
+        return
+    base = base_spans(text)
+    clear = _free([(a, b) for _, a, b in base] + [*candidates(text, base), *runs(text, base)])
+    for i in at:
+        start, end, word = words[i].start(), words[i].end(), words[i][0]
+        start, end = start + len(word) - len(word.lstrip(_LEFT)), start + len(word.rstrip(_RIGHT))
+        if 0 < end - start <= MOST_LENGTH and clear(start, end):
+            yield f"{plain[i - 2]} {plain[i - 1]}", start, end
+
+
+def uncrowded(documents: DataFrame, text_column: str, seeds: dict[str, int]) -> dict[str, int]:
+    """The contexts (two words, with their number of different seeds) behind which so few different other words stand that
+    the seeds keep their share. Exact: a task drops a context once it alone has met too many, else hands on all words."""
+    rows = documents.select(F.col(text_column).cast("string").alias("text")).where("text IS NOT NULL")
+    sent = documents.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live, known, crowded = dict(sent.value), {}, []
+        met: dict[str, set[str]] = {}
+        for batch in sliced(batches, "text"):
+            lasts = {c.rpartition(" ")[2] for c in live}
+            for text in batch.column("text").to_pylist():
+                for context, a, b in _behind(text, known, live, lasts):
+                    met.setdefault(context, set()).add(text[a:b])
+                    if context in live and len(met[context]) > OTHERS * live[context]:
+                        del live[context]
+                        crowded.append(context)
+            if len(known) > 200_000:
+                known = {}
+        left = [c for c in met if c in live]
+        yield pa.RecordBatch.from_arrays([pa.array(crowded + left, pa.string()), pa.array([None] * len(crowded) + [list(met[c]) for c in left], pa.list_(pa.string()))], names=["context", "words"])
+
+    tally = rows.mapInArrow(run, "context string, words array<string>").groupBy("context") \
+        .agg(F.max(F.col("words").isNull()).alias("crowded"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    # Contexts that no word follows need no second look.
+    return {r.context: seeds[r.context] for r in tally.where("NOT crowded").select("context", F.size("words").alias("n")).collect()
+            if r.n <= OTHERS * seeds[r.context]}
+
+
+def following(documents: DataFrame, text_column: str, contexts: dict[str, int]) -> DataFrame:
+    """(digest, start, end, seed, instance, before, after, word) of every word right after a context of two words, clear of
+    base spans and of what ``mentions`` marks."""
+    rows = documents.select(F.col(text_column).cast("string").alias("text")).where("text IS NOT NULL")
+    schema = "digest string, start long, end long, seed boolean, instance string, before string, after string, word string"
+    sent = documents.sparkSession.sparkContext.broadcast(contexts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = sent.value
+        lasts, known = {c.rpartition(" ")[2] for c in contexts}, {}
+        for batch in sliced(batches, "text"):
+            out = [(_digest(t), a, b, False, _digest(t[a:b]), *_context(t, a, b), t[a:b])
+                   for t in batch.column("text").to_pylist() for _, a, b in _behind(t, known, contexts, lasts)]
+            if len(known) > 200_000:
+                known = {}
+            columns = list(zip(*out)) or [()] * 8
+            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.string()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["digest", "start", "end", "seed", "instance", "before", "after", "word"])
 
     return rows.mapInArrow(run, schema)
 
@@ -156,7 +293,12 @@ def trusted_patterns(marks: DataFrame, rounds: int = ROUNDS, least: float = LEAS
     confidence is the sum of its instances' scores over their number plus ``doubt``, and an instance that is no seed
     scores one minus the product of its patterns' doubts. All edges count; grouping combines before each shuffle.
     """
-    edges = written(patterns(marks).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    return _scored(patterns(marks), rounds, least, instances, seeds, doubt)
+
+
+def _scored(met: DataFrame, rounds: int = ROUNDS, least: float = LEAST_CONFIDENCE, instances: int = LEAST_INSTANCES,
+            seeds: int = LEAST_SEEDS, doubt: float = DOUBT) -> DataFrame:
+    edges = written(met.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     # A pattern seen at too few instances or seeds can never extract, so its edges carry no score either.
     wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("m")).where((F.col("n") >= instances) & (F.col("m") >= seeds)) \
         .select(F.col("pattern").alias("p"), "n")
@@ -172,16 +314,51 @@ def trusted_patterns(marks: DataFrame, rounds: int = ROUNDS, least: float = LEAS
     return scored.where(F.col("confidence") >= least)
 
 
+def _open_words(documents: DataFrame, text_column: str, marks: DataFrame, trusted: DataFrame, **options) -> DataFrame | None:
+    """(digest, start, end) of words of any shape right after two trusted words. Here every word behind the two counts as
+    an instance, and of all places of a found word so many must be trusted as a pattern needs confidence. None if none."""
+    two = F.col("pattern").startswith("2|")
+    known = patterns(marks.where("seed").select("seed", "instance", "before", "after")).where(two).groupBy("pattern").agg(F.countDistinct("instance").alias("m"))
+    rest = trusted.where(two).select(F.col("pattern").alias("p"))
+    seeds = {r.pattern[2:]: r.m for r in known.join(rest, F.col("pattern") == F.col("p"), "left_semi").collect()}
+    contexts = uncrowded(documents, text_column, seeds) if seeds else {}
+    if not contexts:
+        return None
+    words = written(following(documents, text_column, contexts).distinct(), "following")
+    if words.isEmpty():
+        return None
+    columns = ["seed", "instance", "before", "after"]
+    kept = _scored(patterns(marks.select(*columns).unionByName(words.select(*columns))).where(two), **options).select(F.col("pattern").alias("p"))
+    there = written(words.join(kept, F.concat(F.lit("2|"), "before") == F.col("p"), "left_semi"), "there")
+    if there.isEmpty():
+        return None
+    found = there.groupBy("word").agg(F.count("*").alias("trusted_places")).withColumnRenamed("word", "w")
+    # Copies of a text count once, on both sides.
+    bare = F.regexp_replace("word", r"""^[(\[{<"'=:,;#]+|[)\]}>"'.,;:!?]+$""", "")
+    texts = documents.select(F.col(text_column).cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    everywhere = texts.select(F.explode(F.split("text", r"(?U)\s+")).alias("word")).select(bare.alias("word")) \
+        .join(found.select("w"), F.col("word") == F.col("w"), "left_semi").groupBy("word").agg(F.count("*").alias("places"))
+    least = options.get("least", LEAST_CONFIDENCE)
+    sure = found.join(everywhere, F.col("w") == F.col("word")).where(F.col("trusted_places") >= least * F.col("places")).select("w")
+    return there.join(sure, F.col("word") == F.col("w"), "left_semi").select("digest", "start", "end")
+
+
 def find(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """(id, base, spans) per row: base spans, and all spans (kind, start, end) by start, then kind as listed with
     ``context`` last. Spans found by context never overlap a base span. Null texts have no spans; extra columns are left
     out; repeated rows give repeated results (they are one instance to the patterns)."""
     table = written(mentions(documents.select(F.col(id_column), F.col(text_column)), id_column, text_column).withColumn("row", F.monotonically_increasing_id()), "mentions")
     marks = table.select("row", F.explode("marks").alias("m")).select("row", "m.*")
-    trusted = trusted_patterns(marks.select("seed", "instance", "before", "after"), **options).select(F.col("pattern").alias("p"))
-    fresh = patterns(marks.where("NOT seed")).join(trusted, F.col("pattern") == F.col("p"), "left_semi").select("row", "start", "end").distinct()
+    trusted = trusted_patterns(marks.select("seed", "instance", "before", "after"), **options)
+    fresh = patterns(marks.where("NOT seed")).join(trusted.select(F.col("pattern").alias("p")), F.col("pattern") == F.col("p"), "left_semi").select("row", "start", "end").distinct()
+    words = _open_words(documents, text_column, marks, trusted, **options)
+    if words is not None:
+        words = words.withColumnRenamed("digest", "d")
+        fresh = fresh.unionByName(table.select("row", "digest").join(words, F.col("digest") == F.col("d")).select("row", "start", "end")).distinct()
     new = fresh.groupBy("row").agg(F.collect_list(F.struct(F.lit(FOUND).alias("kind"), "start", "end")).alias("new")).withColumnRenamed("row", "r")
-    joined = table.join(new, F.col("row") == F.col("r"), "left")
+    # Of a run and a word in it that were both found, the run.
+    widest = F.filter("new", lambda s: ~F.exists("new", lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
+    joined = table.join(new.withColumn("new", widest), F.col("row") == F.col("r"), "left")
     rank = F.transform(F.concat("base", F.coalesce("new", F.expr("array()").cast("array<struct<kind:string,start:bigint,end:bigint>>"))),
                        lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*[F.lit(k) for k in (*KINDS, FOUND)]), s["kind"]).alias("k"), s["kind"].alias("kind"), s["end"].alias("end")))
     spans = F.transform(F.sort_array(rank), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

@@ -196,5 +196,28 @@ def test_katz_equals_brute_force(spark):
     assert [r.train_tokens for r in odd] == [7] * 3 or [r.train_tokens for r in odd] == [6] * 3
 
 
+SPLIT = ["415 555 0132", "(415) 555-0132", "GB29 NWBK 6016 1331 9268 19", "123 45 6789", "123 - 45 - 6789", "jane.roe at example dot com", "jane (at) example (dot) org", "jroe", "mary_k7"]
+
+
+def test_contexts_find_identifiers_of_any_shape(spark):
+    odd = SPLIT + ["noon"]
+    docs = [(i, f"say x reach me at +1 (234) 555-{i:04d} today") for i in range(40)]
+    docs += [(100 + i, f"say x reach me at {s} today") for i, s in enumerate(odd)] + [(200, f"say x reach me at {SPLIT[0]} today")]
+    docs += [(300 + i, f"we eat every day at noon {i}, all of us") for i in range(4)] + [(400, None)]
+    got = {r.doc_id: r.spans for r in find(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).select("doc_id", joined_spans("spans").alias("spans")).collect()}
+    texts = dict(docs)
+    for i, s in [(100 + i, s) for i, s in enumerate(SPLIT)] + [(200, SPLIT[0])]:
+        a = texts[i].index(s)
+        assert got[i] == f"context:{a}:{a + len(s)}", s
+    assert not any(got[i] for i in (100 + len(SPLIT), 300, 301, 302, 303, 400))        # noon stands elsewhere as well
+
+
+def test_a_context_before_many_plain_words_finds_none_of_them(spark):
+    docs = [(i, f"say x reach me at +1 (234) 555-{i:04d} today") for i in range(40)]
+    docs += [(100 + i, f"say x reach me at {'ab'[i % 2]}{'cdefghijkl'[i // 2 % 10]}{'mnopqrstuv'[i // 20]} today") for i in range(200)]
+    got = {r.doc_id: r.n for r in find(spark.createDataFrame(docs, "doc_id long, text string")).selectExpr("doc_id", "size(spans) AS n").collect()}
+    assert all(got[i] == (i < 100) for i, _ in docs)
+
+
 def test_base_digest_of_no_spans(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.sql("SELECT sha2(cast('' AS binary), 256) AS d").first().d
