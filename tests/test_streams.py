@@ -1,5 +1,8 @@
 """Streams: resuming from a folder, and a source without input."""
 
+from pyspark.sql import functions as F
+
+from studyspark.plans import views
 from studyspark.session import scratch_path
 from studyspark.streaming.run import run_available
 
@@ -31,3 +34,14 @@ def test_a_source_without_input_gives_an_empty_table(spark):
     stream = spark.readStream.schema(SCHEMA).parquet(source)
     rows = run_available(stream, "append", "rows")
     assert rows.columns == ["id", "name", "batch_id"] and rows.count() == 0
+
+
+def test_windows_open_at_the_end_are_written(spark):
+    sf = "/root/testdata/sf0.001"
+    queries = __import__("__spark_entry__").queries()
+    events = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_type AS client", "CAST(ts AS timestamp) AS ts")
+    want = events.groupBy("client", F.window("ts", "15 minutes")).count().where("count > 2").count()
+    assert queries["i13_over_limit_stream"](spark, sf).count() == want
+    reviews = views.as_reviews(spark.read.parquet(f"{sf}/events.parquet"))
+    want = reviews.groupBy("user_id", F.window(F.col("reviewed_at").cast("timestamp"), "1 day")).count().count()
+    assert queries["i14_study_stats_stream"](spark, sf).count() == want
