@@ -110,6 +110,13 @@ def op8_katz(spark: SparkSession, folder: str) -> DataFrame:
     return score(_table(spark, folder, "documents"))
 
 
+@catalog.add("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable embedding on its eight leading whitened components."""
+    from studyspark.llm.whitening import whiten
+    return whiten(_table(spark, folder, "embeddings"))
+
+
 @catalog.add("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the training-data pipeline."""
