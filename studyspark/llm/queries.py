@@ -110,6 +110,14 @@ def op8_katz(spark: SparkSession, folder: str) -> DataFrame:
     return score(_table(spark, folder, "documents"))
 
 
+@catalog.add("op12_swap_packing")
+def op12_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents packed into few windows by best fit and exchanges between windows; one row per piece."""
+    from studyspark.llm.swap_packing import pack
+    placed = pack(_table(spark, folder, "documents"), _word_vocabulary(), special=True)
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 @catalog.add("op13_whitening")
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Every usable embedding on its eight leading whitened components."""
