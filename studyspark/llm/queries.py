@@ -110,6 +110,15 @@ def op8_katz(spark: SparkSession, folder: str) -> DataFrame:
     return score(_table(spark, folder, "documents"))
 
 
+@catalog.add("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations with the audit of their cheapest repair."""
+    from studyspark.llm.turn_repair import damaged, repair, with_missing
+    conversations = _table(spark, folder, "conversations")
+    audits, _ = repair(damaged(conversations))
+    return with_missing(audits, conversations)
+
+
 @catalog.add("op12_swap_packing")
 def op12_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed into few windows by best fit and exchanges between windows; one row per piece."""
