@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studyspark.functions import mentions as m
 from studyspark.operators.edit_join import leader_clusters, similar_within
+from studyspark.session import cut_lineage
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def similar_forms(canonicals: DataFrame, threshold: float = 0.8) -> DataFrame:
 def fuzzy_merge(canonicals: DataFrame, threshold: float = 0.8) -> DataFrame:
     """text, forms, mentions: canonical forms merged by edit similarity. A form joins the first earlier group
     leader it is similar to; the longest form of a group stands for it."""
-    keyed = canonicals.withColumn("s", F.lower("text"))
+    keyed = cut_lineage(canonicals.withColumn("s", F.lower("text")))
     items = keyed.groupBy("s").agg(F.min("first").alias("ord")).withColumn("lead", F.col("ord.doc_id"))
     groups = leader_clusters(items, threshold)
     return keyed.join(groups, "s").groupBy("leader").agg(

@@ -64,5 +64,5 @@ def study_stats_windows(reviews: DataFrame, window: str = "1 day") -> DataFrame:
 
 
 def study_stats_stream(reviews: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """The same on a stream: append mode, a window appears once it can receive no more reviews."""
+    """The same on a stream. In append mode a window appears once it can receive no more reviews, in update mode whenever it changes."""
     return study_stats_windows(reviews.withWatermark("reviewed_at", lateness), window)

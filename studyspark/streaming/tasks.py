@@ -22,5 +22,5 @@ def task_state_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 def over_limit_stream(requests: DataFrame, limit: int = REQUEST_LIMIT, window: str = REQUEST_WINDOW, lateness: str = "5 minutes") -> DataFrame:
-    """Clients above the request limit per window; append mode."""
+    """Clients above the request limit per window. In append mode a window appears once it is closed, in update mode whenever it changes."""
     return over_limit(requests.withWatermark("ts", lateness), limit, window)
