@@ -182,6 +182,29 @@ def _(spark, sf):
     return _variants(lambda v: c.source_type(answered, v).select("id", F.col("q_no").cast("bigint").alias("q_no"), "source_type"))
 
 
+# The SQL distance counts bytes. The strings are lower case, so each accented letter is first replaced by
+# a capital of its own and takes one byte.
+ONE_BYTE = "translate({0}, 'éèêëçàâîïôûùäöüßñíóúá', 'ABCDEFGHIJKLMNOPQRSTU')"
+
+
+def sql_leaders(items: str) -> str:
+    """Views that take strings (s, ord) one by one in order: ``led`` has (s, leader). In every round the open strings without an
+    earlier open neighbour lead and their neighbours follow; what never follows leads."""
+    return f"""
+it AS (SELECT s, {ONE_BYTE.format("s")} AS b, row_number() OVER (ORDER BY ord) AS n, length(s) AS l FROM {items}),
+near AS (SELECT x.n AS a, y.n AS b FROM it x JOIN it y ON x.n < y.n AND abs(x.l - y.l) < 0.2 * greatest(x.l, y.l)
+  AND 1.0 - CAST(levenshtein(x.b, y.b) AS DOUBLE) / greatest(x.l, y.l) > 0.8),
+opened AS (SELECT 0 AS k, a, b FROM near UNION ALL (
+  WITH first AS (SELECT a FROM opened EXCEPT SELECT b FROM opened), follow AS (SELECT DISTINCT b FROM opened WHERE a IN (SELECT a FROM first))
+  SELECT k + 1, a, b FROM opened WHERE a NOT IN (SELECT b FROM follow) AND b NOT IN (SELECT b FROM follow))),
+follows AS (SELECT DISTINCT o.b FROM opened o ANTI JOIN opened p ON p.k = o.k AND p.b = o.a),
+led AS (SELECT y.s, x.s AS leader FROM (SELECT b, min(a) AS a FROM near WHERE a NOT IN (SELECT b FROM follows) AND b IN (SELECT b FROM follows) GROUP BY b) p
+  JOIN it x ON x.n = p.a JOIN it y ON y.n = p.b UNION ALL SELECT s, s FROM it WHERE n NOT IN (SELECT b FROM follows))"""
+
+
+SQL_QUESTION = sql_strip(sub(sub("lower(question)", "[?!.,;:]"), "[" + fx.SPACE_CLASS + "]+", " "))
+
+
 def talk_cards(spark: SparkSession, sf: str) -> DataFrame:
     return pg.qa_cards(spark, sf).withColumn("ord", F.struct("conv_id", "turn"))
 
@@ -195,7 +218,13 @@ def _(spark, sf):
     return c.similar_questions(talk_cards(spark, sf))
 
 
-@catalog.add("g9_dedup_cards")
+@catalog.add("g9_dedup_cards", f"""
+WITH RECURSIVE t AS (SELECT a.conv_id || '-' || a.turn AS card_id, a.conv_id, a.turn, a.text AS question, b.text AS answer
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+keyed AS (SELECT *, {SQL_QUESTION} AS s, row_number() OVER (ORDER BY conv_id, turn) AS ord FROM t),
+items AS (SELECT s, min(ord) AS ord FROM keyed GROUP BY s),{sql_leaders("items")},
+r AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY ord) AS f, row_number() OVER (PARTITION BY leader ORDER BY length(answer) DESC, ord) AS l FROM keyed JOIN led USING (s))
+SELECT card_id, question, 'first' AS keep FROM r WHERE f = 1 UNION ALL SELECT card_id, question, 'longest' FROM r WHERE l = 1""")
 def _(spark, sf):
     cards = talk_cards(spark, sf)
     first = c.dedup_cards(cards, "first").select("card_id", "question").withColumn("keep", F.lit("first"))
@@ -213,28 +242,37 @@ def _(spark, sf):
     )
 
 
-@catalog.add("g10_generate_deck")
+@catalog.add("g10_generate_deck", with_views(BASE + " h_templates h_questions pattern", f""",
+keyed AS (SELECT p.doc_id, p.chunk_no, q_no, question, answer, topic AS context, CAST({sql_difficulty(">= 5")} AS BIGINT) AS difficulty,
+       CASE WHEN confidence > 0.6 THEN 'qa_extracted' ELSE 'rule_based' END AS source_type, confidence, {SQL_QUESTION} AS s,
+       row_number() OVER (ORDER BY p.doc_id, p.chunk_no, q_no) AS ord
+  FROM pattern p JOIN chunk_cards c ON c.doc_id = p.doc_id AND c.chunk_no = p.chunk_no),
+items AS (SELECT s, min(ord) AS ord FROM keyed GROUP BY s),{sql_leaders("items")}
+SELECT doc_id, chunk_no, q_no, question, answer, context, difficulty, source_type, confidence FROM keyed
+WHERE ord IN (SELECT ord FROM items JOIN led ON led.s = items.s AND led.s = led.leader)""", recursive=True))
 def _(spark, sf):
     cards = cut_lineage(c.generate_cards(chunk_rows(spark, sf)))
-    return c.dedup_cards(cards, "first").drop("ord")
-
-
-# The SQL distance counts bytes. The forms are lower case, so each accented letter is first replaced by
-# a capital of its own and takes one byte.
-ONE_BYTE = "translate(lower(text), 'éèêëçàâîïôûùäöüßñíóúá', 'ABCDEFGHIJKLMNOPQRSTU')"
+    return c.dedup_cards(cards, "first").drop("ord").withColumns({x: F.col(x).cast("bigint") for x in ("chunk_no", "q_no", "difficulty")})
 
 
 @catalog.add("c6_similar_forms", with_views(TYPED, f"""
 , f AS (SELECT norm, text, count(*) AS n FROM typed GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, length(text) DESC, text) AS k FROM f),
-s AS (SELECT DISTINCT lower(text) AS s, {ONE_BYTE} AS b FROM r WHERE k = 1)
+s AS (SELECT DISTINCT lower(text) AS s, {ONE_BYTE.format("lower(text)")} AS b FROM r WHERE k = 1)
 SELECT a.s AS sa, b.s AS sb FROM s a JOIN s b ON a.s < b.s AND abs(length(a.s) - length(b.s)) < 0.2 * greatest(length(a.s), length(b.s))
   AND 1.0 - CAST(levenshtein(a.b, b.b) AS DOUBLE) / greatest(length(a.s), length(b.s)) > 0.8"""))
 def _(spark, sf):
     return e.similar_forms(cut_lineage(e.canonical(entity_rows(spark, sf))))
 
 
-@catalog.add("c6_fuzzy_merge")
+@catalog.add("c6_fuzzy_merge", with_views(TYPED, f"""
+, placed AS (SELECT norm, text, row_number() OVER (ORDER BY doc_id, chunk_no, pos) AS place FROM typed),
+f AS (SELECT norm, text, count(*) AS n, min(place) AS place FROM placed GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, length(text) DESC, text) AS k, sum(n) OVER (PARTITION BY norm) AS total, min(place) OVER (PARTITION BY norm) AS ord FROM f),
+keyed AS (SELECT lower(text) AS s, text, total, ord FROM r WHERE k = 1),
+items AS (SELECT s, min(ord) AS ord FROM keyed GROUP BY s),{sql_leaders("items")},
+g AS (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY length(text) DESC, ord) AS k FROM keyed JOIN led USING (s))
+SELECT max(text) FILTER (WHERE k = 1) AS text, count(*) AS forms, CAST(sum(total) AS BIGINT) AS mentions FROM g GROUP BY leader""", recursive=True))
 def _(spark, sf):
     return e.fuzzy_merge(cut_lineage(e.canonical(entity_rows(spark, sf)))).select("text", "forms", "mentions")
 

@@ -169,14 +169,13 @@ def _(spark, sf):
 
 
 @catalog.add("e14_fallback_topic", with_views(NODES + " topic_only qa", """
-, e AS (SELECT DISTINCT card_id FROM qa JOIN resolved ON node_type = 'Entity' AND length(label) >= 10 AND contains(lower(question || chr(1) || answer || chr(1)), lower(label))),
+, e AS (SELECT DISTINCT card_id FROM qa JOIN resolved ON contains(lower(question || chr(1) || answer || chr(1)), lower(label))),
 f AS (SELECT label FROM topic_only ORDER BY first_doc, first_chunk, label LIMIT 1)
 SELECT 'flashcard-' || card_id AS source, f.label AS target, 'DERIVED_FROM' AS type, CAST(0.5 AS DOUBLE) AS weight
 FROM qa, f WHERE card_id NOT IN (SELECT card_id FROM e)"""))
 def _(spark, sf):
-    # Links to long entities only, so that enough cards stay without one.
     cards, (nodes, kept, _) = qa_cards(spark, sf), resolved_nodes(chunks(spark, sf))
-    return g.fallback_topic(cards, g.cards_to_nodes(cards, nodes.filter("node_type = 'Entity' AND length(label) >= 10")), kept)
+    return g.fallback_topic(cards, g.cards_to_nodes(cards, nodes), kept)
 
 
 LINK = "CASE WHEN node_type = 'Topic' THEN 'EXPLAINS' ELSE 'DERIVED_FROM' END"
