@@ -86,23 +86,28 @@ class Quantiser:
         return np.sqrt(np.maximum(total, 0))
 
 
-def usable_vectors(embeddings: DataFrame, id_column: str, vector_column: str, label_column: str) -> DataFrame:
-    """(key, label, dim, unit, digest): rows that can link at all, scaled to length 1 in double precision. Copies of one
-    vector and label have one digest."""
+def _usable() -> Column:
+    """Whether a row (key, label, v) can link at all."""
+    numbers = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
+    return F.coalesce(F.col("v").isNotNull() & F.col("label").isNotNull() & F.col("key").isNotNull() & numbers, F.lit(False))
+
+
+def usable_vectors(rows: DataFrame) -> DataFrame:
+    """(key, label, dim, unit, digest) of the rows (key, label, v) that can link at all, scaled to length 1 in double
+    precision. Copies of one vector and label have one digest, of 128 bits."""
     x = F.col("v")
-    rows = embeddings.select(F.col(id_column).alias("key"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("v")).where("v IS NOT NULL AND label IS NOT NULL AND key IS NOT NULL") \
-        .where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0))
+    rows = rows.where(_usable())
     # Scaled by the largest component first, so that no square overflows or vanishes.
     big = F.aggregate(x, F.lit(0.0), lambda m, e: F.greatest(m, F.abs(e)))
     rows = rows.withColumn("v", F.transform(x, lambda e: e / big))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e))
-    return rows.select("key", "label", F.size("v").alias("dim"), F.transform(x, lambda e: e / norm).alias("unit"),
-                       F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform(x, lambda e: (e + 0.0).cast("string"))), 256).alias("digest"))
+    digest = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform(x, lambda e: (e + 0.0).cast("string"))), 256)
+    return rows.select("key", "label", F.size("v").alias("dim"), F.transform(x, lambda e: e / norm).alias("unit"), F.substring(digest, 1, 32).alias("digest"))
 
 
 def fit_quantisers(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, lists: int = LEAST_LISTS, subspaces: int = SUBSPACES, codewords: int = CODEWORDS) -> dict[int, Quantiser]:
     """A quantiser per number of dimensions, fitted on at most ``sample_rows`` vectors in all, those of smallest digest."""
-    sample = vectors.select("dim", "unit", "digest").orderBy("digest").limit(sample_rows).select("dim", "unit").collect()
+    sample = vectors.select("dim", "unit", "rep").orderBy("rep").limit(sample_rows).select("dim", "unit").collect()
     by_dim: dict[int, list] = {}
     for row in sample:
         by_dim.setdefault(row["dim"], []).append(row["unit"])
@@ -151,7 +156,7 @@ def _compare(index: DataFrame, quantisers: dict[int, Quantiser], least: float, b
     """(rep, links, other) for every vector and block of a list it probes: how many rows it links with there. ``other``
     is the least vector it is connected with in the block, so that these edges hold all connections."""
     def block(blocks: str) -> Column:
-        return F.pmod(F.xxhash64("rep", "digest"), F.col(blocks)).cast("int")
+        return F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
 
     homes_n = index.groupBy("label", "dim", "cell").agg(F.count("*").alias("rows"))
     asks_n = index.select("label", "dim", F.explode("probes").alias("cell")).groupBy("label", "dim", "cell").agg(F.count("*").alias("asks"))
@@ -161,7 +166,7 @@ def _compare(index: DataFrame, quantisers: dict[int, Quantiser], least: float, b
     here = (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c"))
     homes = index.join(blocks, here).select("label", "dim", "cell", block("hb").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("ab") - 1)).alias("ab"),
                                             F.lit(True).alias("home"), "rep", "n", "unit", "codes", "error")
-    asks = index.select("label", "dim", F.explode("probes").alias("cell"), "rep", "n", "unit", "digest").join(blocks, here) \
+    asks = index.select("label", "dim", F.explode("probes").alias("cell"), "rep", "n", "unit").join(blocks, here) \
         .select("label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("hb"), block("ab").alias("ab"), F.lit(False).alias("home"), "rep", "n", "unit",
                 F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
     key_type = index.schema["rep"].dataType
@@ -201,22 +206,23 @@ def near_duplicates(embeddings: DataFrame, id_column: str = "vec_id", vector_col
                     least: float = 0.98, block_rows: int = BLOCK_ROWS, lists: int | None = None) -> DataFrame:
     """Per row: the id, n_links, component_id, kept. Rows link when their labels are equal and not null, their vectors
     are as long and the cosine is ``least`` or more. A vector that is null, empty, zero, or holds null or a non-finite
-    number links with nothing. Rows with one vector and label are compared once and counted as often as they come. Of
-    each component the row with the smallest id is kept. A row without an id links with nothing and is kept. Extra
-    columns are left out.
+    number links with nothing. Rows with one vector and label are compared once and counted as often as they come; rows of
+    one id with different vectors are told apart, and each links by its own. Of each component the rows with the smallest
+    id are kept. A row without an id links with nothing and is kept. Extra columns are left out.
     """
-    rows = embeddings.select(F.col(id_column).alias("key0"), F.col(vector_column).alias("vector0"), F.col(label_column).alias("label0"))
-    usable = written(usable_vectors(rows, "key0", "vector0", "label0"), "usable")
-    vectors = written(usable.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")), "vectors")
+    rows = embeddings.select(F.col(id_column).alias("key"), F.col(label_column).alias("label"), F.col(vector_column).cast("array<double>").alias("v"))
+    usable = written(usable_vectors(rows), "usable")
+    vectors = written(usable.groupBy(F.col("digest").alias("rep")).agg(F.min("key").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("unit").alias("unit")), "vectors")
     lists = lists or int(min(MOST_LISTS, max(LEAST_LISTS, vectors.count() ** 0.5 / 4)))
     quantisers = fit_quantisers(vectors, lists=lists)
-    index = written(_index(vectors, quantisers, float(np.sqrt(max(2 - 2 * least, 0))) + 1e-6), "index")
+    index = written(_index(vectors.drop("least"), quantisers, float(np.sqrt(max(2 - 2 * least, 0))) + 1e-6), "index")
     found = written(_compare(index, quantisers, least, block_rows), "found")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "r")
     label = components(found.where("rep <> other"), "rep", "other")
-    table = vectors.select("digest", "rep", "n").join(linked, F.col("rep") == F.col("r"), "left").join(label, F.col("rep") == F.col("node"), "left") \
-        .select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    known = usable.select("key", "digest").join(table, F.col("digest") == F.col("d")).select("key", "links", "component").distinct()
-    return rows.select(F.col("key0")).join(known, F.col("key0") == F.col("key"), "left").select(
-        F.col("key0").alias(id_column), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "key0").alias("component_id"),
-        F.coalesce(F.coalesce("component", "key0") == F.col("key0"), F.lit(True)).alias("kept"))
+    table = written(vectors.select("rep", "least", "n").join(linked, F.col("rep") == F.col("r"), "left").join(label, F.col("rep") == F.col("node"), "left")
+                    .select("rep", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "classes")
+    smallest = table.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
+    table = table.join(smallest, F.col("component") == F.col("c")).select("rep", "links", "component_id")
+    known = usable.select("key", "digest").join(table, F.col("digest") == F.col("rep")).select("key", F.col("links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where(~_usable()).select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    return known.unionByName(alone).select(F.col("key").alias(id_column), "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("key"), F.lit(True)).alias("kept"))

@@ -147,11 +147,17 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     """Per row: the id, n_shingles (the size of its set of distinct n-grams of lower-cased words) and component_id, the
     smallest id that links reach. Rows link when their sets' intersection is at least ``percent`` hundredths of the union.
 
-    A text without words, or null, has an empty set and links with nothing. Rows of one id count as one node. A row
-    whose id is null takes the component of its class and is no other's smallest id. Extra columns are left out.
+    A text without words, or null, has an empty set and links with nothing. Rows of one id with different texts are told
+    apart: each links by its own set. A row whose id is null takes the component of its class and is no other's smallest id.
+    Extra columns are left out.
     """
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     features = written(_features(rows, n), "features")
+    if not isinstance(rows.schema["id"].dataType, StructType) and not features.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
+        # Ids with several sets: nodes are pairs of id and text, which compare by id first.
+        node = F.when(F.col("id").isNotNull(), F.struct("id", F.md5(F.col("text").cast("binary")).alias("text")))
+        return near_duplicates(rows.select(node.alias(id_column), F.col("text").alias(text_column)), id_column, text_column, n, percent) \
+            .select(F.col(id_column)["id"].alias(id_column), "n_shingles", F.col("component_id")["id"].alias("component_id"))
     alive = written(_survivors(features, percent), "alive")
     chosen = rows.join(F.broadcast(alive) if alive.count() <= SENT_IDS else alive, "id", "left_semi")
     sets = written(_whole_sets(chosen, n).where("size > 0").distinct(), "sets")

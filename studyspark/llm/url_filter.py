@@ -83,8 +83,8 @@ def _hashed(parts: DataFrame, features: int, gram: int) -> DataFrame:
 
 
 def labelled_sample(labelled: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``most`` labelled urls, (url, label): those of smallest hash, so the same ones in every run."""
-    return labelled.where("url IS NOT NULL AND label IS NOT NULL").select("url", F.col("label").cast("double").alias("label")) \
+    """At most ``most`` different labelled urls, (url, label): those of smallest hash, so the same ones in every run."""
+    return labelled.where("url IS NOT NULL AND label IS NOT NULL").select("url", F.col("label").cast("double").alias("label")).distinct() \
         .orderBy(F.xxhash64("url"), "url", "label").limit(most)
 
 
