@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyspark.functions import fixed as fx
+from studyspark.operators.telemetry import POLLER_LIMIT, PROCESSING_LIMIT
 from studyspark.plans import telemetry as pt
 from studyspark.plans import views as v
 from studyspark.plans.registry import Catalog
@@ -52,6 +53,20 @@ def _(spark, sf):
     return state.select("task_id", F.col("progress").cast("bigint").alias("progress"), F.col("failed_steps").cast("bigint").alias("failed_steps"))
 
 
+@catalog.add("i4_timeouts_stream", with_views("tasks step_rows", """
+, t AS (SELECT task_id, bool_or(task_id % 3 <> 0 AND step = 'finalize' AND done_at IS NOT NULL) AS finished FROM step_rows GROUP BY 1),
+m AS (SELECT task_id, min(ts) AS started FROM tasks GROUP BY 1), w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM tasks)
+SELECT t.task_id, CAST(seconds AS BIGINT) AS seconds, CASE WHEN finished THEN 'completed' WHEN started + to_seconds(seconds + 1) < mark THEN 'failed' ELSE 'processing' END AS status
+FROM t JOIN m ON t.task_id = m.task_id, w, unnest([300, 600]) AS u(seconds)"""))
+def _(spark, sf):
+    # Every third task does something else in place of its last step.
+    stream = pt.task_events(events_stream(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp")) \
+        .withColumn("step", F.expr("CASE WHEN task_id % 3 = 0 AND step = 'finalize' THEN 'tidy_up' ELSE step END"))
+    runs = [latest(run_available(st.task_state_stream(stream, "1 hour", seconds), "update", "timeouts"), ["task_id"]).select("task_id", F.lit(seconds).cast("bigint").alias("seconds"), "status")
+            for seconds in (PROCESSING_LIMIT, POLLER_LIMIT)]
+    return runs[0].unionByName(runs[1])
+
+
 @catalog.add("i13_over_limit_stream", """
 WITH w AS (SELECT event_type AS client, time_bucket(INTERVAL 15 MINUTE, ts) AS s, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 2)
 SELECT client, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS window_start, requests FROM w""")

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studyspark.session import scratch_path
+from studyspark.session import scratch_path, ship_package
+
+#: State lives in RocksDB on the executors' disks and in the checkpoint, not in their heap.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
@@ -24,10 +28,16 @@ def run_available(stream: DataFrame, mode: str, name: str, folder: str | None =
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
 
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/out/batch_id=-1")    # so that there is a table
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
+    ship_package(spark)
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).foreachBatch(write).start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, before)      # the query keeps the settings it was started with
     query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/out")
 

@@ -2,23 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from studyspark.functions import fixed as fx
+from studyspark.operators.telemetry import PROCESSING_LIMIT, REQUEST_LIMIT, REQUEST_WINDOW, TASK_TTL, over_limit
+
+_STATE = "started BIGINT, updated BIGINT, error STRING, error_us BIGINT, error_id BIGINT, status STRING"
+_OUTPUT = "progress INT, failed_steps INT, status STRING, error_message STRING, started_at TIMESTAMP, updated_at TIMESTAMP"
+
+
+class TaskProgress(StatefulProcessor):
+    """State of one task: its completed and failed steps, each once, and two timers in event time. A task that is not finished
+    ``seconds`` after its start fails without a further event of its own; ``idle_seconds`` after its last event its state goes."""
+
+    def __init__(self, seconds: int, idle_seconds: int) -> None:
+        self.seconds, self.idle_seconds = seconds, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.task = handle.getValueState("task", _STATE)
+        self.steps = handle.getMapState("steps", "step STRING, status STRING", "at BIGINT")
+
+    def _deadline(self, started: int) -> int:
+        return started // 1000 + (self.seconds + 1) * 1000      # more than so many whole seconds
+
+    def _end(self, updated: int) -> int:
+        return updated // 1000 + self.idle_seconds * 1000
+
+    def _row(self, key) -> pd.DataFrame:
+        started, updated, error, _, _, status = self.task.get()
+        names = [k for k, _ in self.steps.iterator()]
+        done, weights = {s for s, state in names if state == "completed"}, dict(fx.STEP_WEIGHTS)
+        values = (*key, sum(weights.get(s, 0) for s in done), sum(state == "failed" for _, state in names), status, error, pd.Timestamp(started, unit="us"), pd.Timestamp(updated, unit="us"))
+        return pd.DataFrame([values], columns=["task_id", *(c.split()[0] for c in _OUTPUT.split(", "))])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        started, updated, error, error_us, error_id, status = self.task.get() if self.task.exists() else (None, None, None, -(2 ** 62), -1, "processing")
+        old = started and self._deadline(started), updated and self._end(updated)
+        for pdf in rows:
+            for step, state, message, at, number in zip(pdf["step"], pdf["status"], pdf["error"], pdf["at_us"].astype("int64"), pdf["event_id"].astype("int64")):
+                at, number = int(at), int(number)
+                started, updated = at if started is None else min(started, at), at if updated is None else max(updated, at)
+                if not self.steps.containsKey((step, state)):
+                    self.steps.updateValue((step, state), (at,))
+                if state == "failed" and (at, number) > (error_us, error_id):
+                    error, error_us, error_id = message, at, number
+                if step == "finalize" and state == "completed":
+                    status = "completed"
+        self.task.update((started, updated, error, error_us, error_id, status))
+        for before, now in zip(old, (self._deadline(started), self._end(updated))):
+            if before != now:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(now)
+        yield self._row(key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.task.exists():
+            return
+        started, updated, error, error_us, error_id, status = self.task.get()
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if status == "processing" and due >= self._deadline(started):
+            self.task.update((started, updated, f"timeout after {self.seconds} seconds", error_us, error_id, "failed"))
+            yield self._row(key)
+        if due >= self._end(updated):
+            self.task.clear()
+            self.steps.clear()
 
-from studyspark.operators.telemetry import REQUEST_LIMIT, REQUEST_WINDOW, over_limit, step_weight
+    def close(self) -> None:
+        pass
 
 
-def task_state_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Per task: progress from its distinct completed steps, number of failed steps, and the last change. A step event
-    that repeats within the watermark is ignored; the sets per task hold at most the eight steps. Update mode."""
-    first = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["task_id", "step", "status"])
-    done = F.collect_set(F.when(F.col("status") == "completed", F.col("step")))
-    failed = F.collect_set(F.when(F.col("status") == "failed", F.col("step")))
-    sets = first.groupBy("task_id").agg(done.alias("done"), failed.alias("failed"), F.max("ts").alias("updated_at"))
-    return sets.select(
-        "task_id", F.aggregate("done", F.lit(0), lambda acc, x: acc + step_weight(x)).alias("progress"),
-        F.size("failed").alias("failed_steps"), "updated_at",
-    )
+def task_state_stream(events: DataFrame, lateness: str = "1 hour", seconds: int = PROCESSING_LIMIT, idle_seconds: int = TASK_TTL) -> DataFrame:
+    """Per task: progress from its distinct completed steps, number of failed steps, status, latest error, start and last change.
+    Update mode. A task fails when the watermark passes its start by more than ``seconds``; its state goes when the watermark
+    passes its last event by ``idle_seconds``. Events are (task_id, step, status, error, ts, event_id)."""
+    rows = events.withWatermark("ts", lateness).select("task_id", "step", "status", "error", "ts", F.unix_micros("ts").alias("at_us"), "event_id")
+    schema = f"task_id {events.schema['task_id'].dataType.simpleString()}, {_OUTPUT}"
+    return rows.groupBy("task_id").transformWithStateInPandas(TaskProgress(seconds, idle_seconds), schema, "update", "eventTime")
 
 
 def over_limit_stream(requests: DataFrame, limit: int = REQUEST_LIMIT, window: str = REQUEST_WINDOW, lateness: str = "5 minutes") -> DataFrame:
