@@ -28,10 +28,6 @@ def sm2_state(repetitions, interval, ease) -> Column:
     )
 
 
-def new_card_state() -> Column:
-    return sm2_state(F.lit(0), F.lit(0), F.lit(START_EASE))
-
-
 def sm2_step(state: Column, quality: Column) -> Column:
     """State after one review. The interval grows by the easiness *before* this review."""
     passed = quality >= PASS_QUALITY
@@ -51,9 +47,21 @@ def sm2_step(state: Column, quality: Column) -> Column:
     return F.struct(reps.cast("int").alias("repetitions"), interval.alias("interval"), ease.alias("ef"))
 
 
-def sm2_fold(qualities: Column, start: Column) -> Column:
-    """State after an ordered array of qualities."""
-    return F.aggregate(qualities, start, lambda state, quality: sm2_step(state, quality))
+def next_state(reps: int, interval: float, ease: float, quality: int) -> tuple[int, float, float]:
+    """The same step as ``sm2_step``, for one review in Python."""
+    if quality < PASS_QUALITY:
+        reps, grown = 0, float(FIRST_INTERVAL)
+    else:
+        reps += 1
+        if reps == 1:
+            grown = float(FIRST_INTERVAL)
+        elif reps == 2:
+            grown = float(SECOND_INTERVAL)
+        else:
+            grown = float((interval * ease + 0.5) // 1) or 1.0
+    missing = 5 - quality
+    gain = BASE_GAIN - missing * (LINEAR_LOSS + missing * SQUARE_LOSS)
+    return reps, grown, max(LEAST_EASE, ease + gain)
 
 
 def due_date(reviewed_at: Column, interval: Column) -> Column:

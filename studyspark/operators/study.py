@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from studyspark.functions.sm2 import due_date, new_card_state, sm2_fold, sm2_state, sm2_step
+from studyspark.functions.sm2 import due_date, next_state, sm2_state, sm2_step
 from studyspark.operators.paging import top_n
-from studyspark.session import cut_lineage
+from studyspark.session import ship_package
 
 CARD = ["user_id", "card_id"]
 
@@ -28,61 +31,60 @@ def sm2_review(reviews: DataFrame) -> DataFrame:
     )
 
 
-def _fold_histories(reviews: DataFrame, start: DataFrame | None) -> DataFrame:
-    """Fold each card's rows in (reviewed_at, review_id) order, from ``start`` where it has a state."""
-    history = reviews.groupBy(*CARD).agg(
-        F.array_sort(F.collect_list(F.struct("reviewed_at", "review_id", "quality"))).alias("h")
-    )
-    if start is None:
-        history = history.withColumn("_s", new_card_state()).withColumn("_n", F.lit(0).cast("bigint"))
-    else:
-        history = history.join(start, CARD, "left").select(
-            *CARD, "h",
-            sm2_state(F.col("repetitions"), F.col("interval"), F.col("ef")).alias("_s"),
-            F.coalesce(F.col("reviews"), F.lit(0).cast("bigint")).alias("_n"),
-        )
-    qualities = F.transform("h", lambda x: x["quality"])
-    return history.select(
-        *CARD,
-        sm2_fold(qualities, F.col("_s")).alias("s"),
-        F.element_at("h", -1)["reviewed_at"].alias("last_reviewed_at"),
-        (F.col("_n") + F.size("h")).alias("reviews"),
-    ).select(
-        *CARD, "s.repetitions", "s.interval", "s.ef", "last_reviewed_at", "reviews",
-    )
-
-
-def sm2_replay(reviews: DataFrame, segment_size: int = 50_000, start: DataFrame | None = None) -> DataFrame:
-    """State of every card after its whole history: repetitions, interval, ef, next_review_date, reviews.
-
-    The fold is sequential by nature, so a card's history is cut into consecutive segments of
-    about ``segment_size`` reviews, and no task ever holds more than one segment of a card. Histories
-    below that size, normally all of them, take a single pass.
+def _folded(rows: DataFrame) -> DataFrame:
+    """The state of each card after its rows, which lie together and in order. Rows stream through, so a task holds the state of
+    one card and a batch, however long a history is."""
+    schema = StructType([*rows.schema.fields[:2], StructField("repetitions", IntegerType()), StructField("interval", DoubleType()), StructField("ef", DoubleType()),
+                         rows.schema["reviewed_at"], StructField("reviews", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        card, at, state, done, types = None, None, None, [], None
+
+        def emit() -> pa.RecordBatch:
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*done), types)]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in batches:
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int32(), pa.float64(), pa.float64(), batch.schema.field(2).type, pa.int64()]
+            when = batch.column(2)
+            for i, (user, number, *first, quality) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6, 7)))):
+                if state is None or (user, number) != card:
+                    if state is not None:
+                        done.append((*card, *state, at, reviews))
+                    card, (reps, interval, ease, reviews) = (user, number), first
+                    state = reps, interval, ease
+                if quality is not None:
+                    state, reviews = next_state(*state, quality), reviews + 1
+                at = when[i]
+            if len(done) > 10_000:
+                yield emit()
+                done = []
+        if state is not None:
+            done.append((*card, *state, at, reviews))
+        if done:
+            yield emit()
+
+    return rows.mapInArrow(run, schema)
+
+
+def sm2_replay(reviews: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """State of every card after its whole history: repetitions, interval, ef, next_review_date, reviews. With ``start`` (states
+    as returned here), cards go on from there, and those without a new review are left out.
+
+    Reviews are sorted by card and time within partitions of cards, and folded as they stream by: one shuffle at any length.
+    A review without a quality changes nothing but the date.
     """
-    hours = (
-        reviews.groupBy(*CARD, F.date_trunc("hour", "reviewed_at").alias("_hour"))
-        .agg(F.count("*").alias("_n"))
-    )
-    longest = hours.groupBy(*CARD).agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest <= segment_size:
-        state = _fold_histories(reviews, start)
+    ship_package(reviews.sparkSession)
+    rows = reviews.select(*CARD, "reviewed_at", "review_id", F.col("quality").cast("int").alias("quality"))
+    if start is not None:
+        known = start.select(*CARD, "repetitions", "interval", "ef", F.col("reviews").alias("_n"))
+        rows = rows.join(known, CARD, "left")
     else:
-        before = Window.partitionBy(*CARD).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-        segments = hours.select(
-            *CARD, "_hour",
-            F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / segment_size).cast("int").alias("_segment"),
-        )
-        tagged = cut_lineage(
-            reviews.withColumn("_hour", F.date_trunc("hour", "reviewed_at")).join(segments, [*CARD, "_hour"])
-        )
-        numbers = sorted(r[0] for r in tagged.select("_segment").distinct().collect())
-        state = start
-        for number in numbers:
-            folded = _fold_histories(tagged.filter(F.col("_segment") == number), state)
-            if state is not None:
-                folded = folded.unionByName(state.join(folded.select(*CARD), CARD, "left_anti"))
-            state = cut_lineage(folded)
-    return state.withColumn("next_review_date", due_date(F.col("last_reviewed_at"), F.col("interval")))
+        rows = rows.select("*", *[F.lit(None).alias(c) for c in ("repetitions", "interval", "ef", "_n")])
+    state = sm2_state(F.col("repetitions"), F.col("interval"), F.col("ef"))
+    rows = rows.withColumn("_s", state).select(*CARD, "reviewed_at", "_s.repetitions", "_s.interval", "_s.ef", F.coalesce("_n", F.lit(0)).cast("bigint").alias("reviews"), "quality", "review_id")
+    ordered = rows.repartition(*CARD).sortWithinPartitions(*CARD, "reviewed_at", "review_id").drop("review_id")
+    folded = _folded(ordered).withColumnRenamed("reviewed_at", "last_reviewed_at")
+    return folded.withColumn("next_review_date", due_date(F.col("last_reviewed_at"), F.col("interval")))
 
 
 def due_cards(cards: DataFrame, as_of, n: int = 20, ties: tuple[str, ...] = ("card_id",)) -> DataFrame:

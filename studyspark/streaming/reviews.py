@@ -15,23 +15,6 @@ STATE = "repetitions INT, interval DOUBLE, ef DOUBLE, last_at BIGINT, last_id BI
 OUTPUT = "user_id BIGINT, card_id BIGINT, repetitions INT, interval DOUBLE, ef DOUBLE, last_us BIGINT, reviews BIGINT, dropped BIGINT"
 
 
-def next_state(reps: int, interval: float, ease: float, quality: int) -> tuple[int, float, float]:
-    """The same step as the column form, for one review."""
-    if quality < sm2.PASS_QUALITY:
-        reps, grown = 0, float(sm2.FIRST_INTERVAL)
-    else:
-        reps += 1
-        if reps == 1:
-            grown = float(sm2.FIRST_INTERVAL)
-        elif reps == 2:
-            grown = float(sm2.SECOND_INTERVAL)
-        else:
-            grown = float((interval * ease + 0.5) // 1) or 1.0
-    missing = 5 - quality
-    gain = sm2.BASE_GAIN - missing * (sm2.LINEAR_LOSS + missing * sm2.SQUARE_LOSS)
-    return reps, grown, max(sm2.LEAST_EASE, ease + gain)
-
-
 class CardReplay(StatefulProcessor):
     """Folds the new reviews of one card in time order. A review older than the last applied one is dropped and counted,
     since its effect can no longer be placed. The state of a card ends ``idle_seconds`` after its last review, in event time."""
@@ -54,7 +37,7 @@ class CardReplay(StatefulProcessor):
             if (at, rid) <= (last_at, last_id):
                 dropped += 1
                 continue
-            reps, interval, ease = next_state(reps, interval, ease, quality)
+            reps, interval, ease = sm2.next_state(reps, interval, ease, quality)
             last_at, last_id, reviews = at, rid, reviews + 1
         self.card.update((reps, interval, ease, last_at, last_id, reviews, dropped))
         if self.idle_seconds and last_at != before:

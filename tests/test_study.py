@@ -2,7 +2,9 @@ import datetime as dt
 import random
 
 from studyspark.operators import graph_build, graph_query, study, telemetry
-from studyspark.streaming.reviews import next_state
+from pyspark.sql import functions as F
+
+from studyspark.functions.sm2 import next_state
 from studyspark.streaming import reviews as sr
 from studyspark.streaming.run import latest, run_available
 
@@ -26,16 +28,24 @@ def test_known_sequence(spark):
     assert state.next_review_date == dt.date(2024, 1, 11)
 
 
-def test_replay_equals_the_loop_in_any_segment_size(spark):
-    rows = history(600, 4)
+def test_replay_equals_the_loop_and_goes_on_from_a_state(spark):
+    rows = history(600, 4) + [(9, 9, 10_000 + i, i % 6, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(15_000)]      # a long one
     want = {}
-    for user, card, _, quality, _ in rows:
+    for user, card, _, quality, _ in sorted(rows, key=lambda r: (r[4], r[2])):
         want[(user, card)] = next_state(*want.get((user, card), (0, 0.0, 2.5)), quality)
+    cut = sorted(r[4] for r in rows)[len(rows) // 2]
     random.Random(2).shuffle(rows)
     df = spark.createDataFrame(rows, SCHEMA)
-    for size in (50_000, 7):
-        got = {(r.user_id, r.card_id): (r.repetitions, r.interval, r.ef) for r in study.sm2_replay(df, size).collect()}
-        assert got == want
+
+    def got(state):
+        return {(r.user_id, r.card_id): (r.repetitions, r.interval, r.ef) for r in state.collect()}
+    assert got(study.sm2_replay(df)) == want
+    first = study.sm2_replay(df.where(F.col("reviewed_at") < F.lit(cut)))
+    later = study.sm2_replay(df.where(F.col("reviewed_at") >= F.lit(cut)), first)
+    assert got(first) | got(later) == want
+    counts = {(r.user_id, r.card_id): r.reviews for r in [*first.collect(), *later.collect()]}
+    assert counts == {(r.user_id, r.card_id): r.n for r in df.groupBy("user_id", "card_id").agg(F.count("*").alias("n")).collect()}
+    assert study.sm2_replay(df.limit(0)).count() == 0
 
 
 def test_stream_drops_late_reviews(spark, tmp_path):
