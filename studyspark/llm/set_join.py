@@ -153,7 +153,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     """
     rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     features = written(_features(rows, n), "features")
-    if not isinstance(rows.schema["id"].dataType, StructType) and not features.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").isEmpty():
+    if not isinstance(rows.schema["id"].dataType, StructType) and not features.where("id IS NOT NULL").groupBy("id") \
+            .agg(F.min(F.xxhash64("digest")).alias("a"), F.max(F.xxhash64("digest")).alias("b")).where("a <> b").isEmpty():
         # Ids with several sets: nodes are pairs of id and text, which compare by id first.
         node = F.when(F.col("id").isNotNull(), F.struct("id", F.md5(F.col("text").cast("binary")).alias("text")))
         return near_duplicates(rows.select(node.alias(id_column), F.col("text").alias(text_column)), id_column, text_column, n, percent) \

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from studyspark.llm.batches import bytes_of, sliced, span_hashes, word_bounds
+from studyspark.llm.batches import bytes_of, give_back, sliced, span_hashes, word_bounds
 
-#: Words remembered per worker (some 50 bytes each) before that memory starts afresh.
+#: Words remembered per task (some 50 bytes each) before that memory starts afresh.
 REMEMBERED = 1_000_000
 #: Parts of words remembered in each of two generations.
 PARTS = 150_000
@@ -95,9 +95,14 @@ class WordEncoder:
         self.spelled = re.compile("|".join(spelled) or "(?!)")
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.release()
+
+    def release(self) -> None:
+        """Let go of all that was learned."""
         self.parts: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.forget()
+        self.table: HashTable | None = None
+        self.ids, self.bounds = bytearray(), array("q", [0])
 
     def forget(self) -> None:
         self.table = HashTable(REMEMBERED)
@@ -151,6 +156,8 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one more than texts). Null is empty."""
+        if self.table is None:
+            self.forget()
         data, offsets = bytes_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
         starts, ends, before = word_bounds(data, offsets)
         pieces, at, total, step = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0, min(CHUNK, REMEMBERED)
@@ -180,6 +187,8 @@ def encoded_documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int,
         ids, bounds = encoder.encode(batch.column("text"))
         end = np.array([end_id], np.uint32)
         yield batch.column(0), [np.concatenate([ids[a:b], end]) for a, b in zip(bounds[:-1], bounds[1:])]
+    encoder.release()       # the worker stays for tasks of other kinds
+    give_back()
 
 
 def tokenize(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID,
