@@ -13,16 +13,17 @@ from studyspark.plans import graph_query as pgq
 from studyspark.plans import vectors as pv
 from studyspark.plans.registry import Catalog
 from studyspark.plans.text import has
-from studyspark.plans.views import SQL, with_views
-from studyspark.session import shared_dir
+from studyspark.plans.views import SQL, stamp, with_views
+from studyspark.schemas import LOG_EVENTS
+from studyspark.session import scratch_path, shared_dir
 from studyspark.sources import sinks, tables
 
 catalog = Catalog()
 
 
 @catalog.add("a1_read_corpus", f"""
-SELECT doc_id, CASE WHEN {has("text", "(?m)^(#+ |```)|" + chr(92) + "[[^" + chr(92) + "]]+" + chr(92) + "]" + chr(92) + "([^)]+" + chr(92) + ")")} THEN 'markdown'
-  WHEN {has("text", "Page [0-9]+|[A-Za-z]-" + chr(92) + "n[A-Za-z]")} THEN 'pdf' ELSE 'plain' END AS fmt, length(text) AS chars FROM documents""")
+SELECT doc_id, CASE WHEN {has("text", r"(?m)^(#+ |```)|\[[^\]]+\]\([^)]+\)")} THEN 'markdown'
+  WHEN {has("text", r"Page [0-9]+|[A-Za-z]-\n[A-Za-z]")} THEN 'pdf' ELSE 'plain' END AS fmt, length(text) AS chars FROM documents""")
 def _(spark, sf):
     docs = tables.tag_format(tables.read_table(spark, sf, "documents"))
     return docs.select("doc_id", "fmt", F.length("text").cast("bigint").alias("chars"))
@@ -47,22 +48,31 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, totals)
 
 
-@catalog.add("a4_log_events", """
-SELECT 'http_request' AS event, event_type AS name, count(*) AS lines, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum
-FROM events WHERE event_id % 2 = 0 GROUP BY ALL UNION ALL
-SELECT 'llm_call', event_type, count(*), CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) FROM events WHERE event_id % 2 = 1 GROUP BY ALL""")
+#: Per event name the number that its lines carry here, besides the first field, which names the event's type.
+LOG_NUMBERS = {
+    "http_request": "status_code", "llm_call": "prompt_tokens", "ocr_result": "text_length", "ocr_fallback_chain": "final_confidence", "summarization": "brief_word_count",
+    "flashcard_generation": "flashcard_count", "quiz_generation": "question_count", "mindmap_generation": "node_count",
+}
+EVENT_NAMES = list(LOG_EVENTS)
+
+
+@catalog.add("a4_log_events", f"""
+SELECT [{", ".join(f"'{n}'" for n in EVENT_NAMES)}][event_id % {len(EVENT_NAMES)} + 1] AS event, event_type AS name, count(*) AS lines,
+  CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last FROM events GROUP BY ALL""")
 def _(spark, sf):
-    # Every event as a JSON log line: even ones are requests, odd ones model calls.
-    k = F.get_json_object("props", "$.k").cast("int")
-    line = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(
-        F.lit("http_request").alias("message"), F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("path"), k.alias("status_code"),
-    ))).otherwise(F.to_json(F.struct(
-        F.lit("llm_call").alias("message"), F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("model"), k.alias("prompt_tokens"),
-    )))
-    lines = tables.read_table(spark, sf, "events").select(F.get_json_object(line, "$.message").alias("event"), F.col("ts"), line.alias("line"))
-    requests = tables.log_events(lines, "http_request").select(F.lit("http_request").alias("event"), F.col("path").alias("name"), F.col("status_code").alias("k"))
-    calls = tables.log_events(lines, "llm_call").select(F.lit("llm_call").alias("event"), F.col("model").alias("name"), F.col("prompt_tokens").alias("k"))
-    return requests.unionByName(calls).groupBy("event", "name").agg(F.count("*").alias("lines"), F.sum("k").alias("k_sum"))
+    # Every event as a JSON line of one of all kinds of log events, written and read back.
+    k, line = F.get_json_object("props", "$.k").cast("int"), F.lit(None).cast("string")
+    for i, name in enumerate(EVENT_NAMES):
+        first = LOG_EVENTS[name].split()[0]
+        fields = F.struct(F.lit(name).alias("message"), F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias(first), k.alias(LOG_NUMBERS[name]))
+        line = F.when(F.col("event_id") % len(EVENT_NAMES) == i, F.to_json(fields)).otherwise(line)
+    target = scratch_path(spark, "logs")
+    tables.read_table(spark, sf, "events").select(line.alias("value")).write.text(target)
+    logs, parts = tables.read_logs(spark, target), None
+    for name in EVENT_NAMES:
+        part = tables.log_events(logs, name).select(F.lit(name).alias("event"), F.col(LOG_EVENTS[name].split()[0]).alias("name"), F.col(LOG_NUMBERS[name]).cast("bigint").alias("k"), "ts")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("event", "name").agg(F.count("*").alias("lines"), F.sum("k").alias("k_sum"), stamp(F.max("ts")).alias("last"))
 
 
 @catalog.add("a6_graph_export", with_views("nodes kg_edges", """

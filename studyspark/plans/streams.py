@@ -13,6 +13,8 @@ from studyspark.plans.registry import Catalog
 from studyspark.plans.study import REPLAY_SQL
 from studyspark.plans.views import SQL, with_views
 from studyspark.schemas import TABLES
+from studyspark.session import scratch_path
+from studyspark.sources.tables import read_reviews_stream
 from studyspark.streaming import reviews as sr
 from studyspark.streaming import tasks as st
 from studyspark.streaming.run import latest, run_available
@@ -32,7 +34,10 @@ def review_stream(spark: SparkSession, sf: str) -> DataFrame:
 @catalog.add("a3_read_reviews_stream", with_views("reviews", """
 SELECT user_id, count(*) AS reviews, CAST(sum(quality) AS BIGINT) AS quality_sum FROM reviews GROUP BY user_id"""))
 def _(spark, sf):
-    rows = run_available(review_stream(spark, sf), "append", "reviews")
+    # The reviews as files of their own, which the reader streams.
+    target = scratch_path(spark, "review-files")
+    v.reviews(spark, sf).withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp")).write.parquet(target)
+    rows = run_available(read_reviews_stream(spark, target), "append", "reviews")
     return rows.groupBy("user_id").agg(F.count("*").alias("reviews"), F.sum("quality").alias("quality_sum"))
 
 
