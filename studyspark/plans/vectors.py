@@ -94,13 +94,15 @@ def _(spark, sf):
 
 
 @catalog.add("d6_latest_embedding", """
-SELECT label AS entity_type, vec_id // 4 AS entity_id, max(vec_id) AS id, round(CAST(arg_max(embedding[1], vec_id) AS DOUBLE), 6) AS x
+SELECT label AS entity_type, vec_id // 4 AS entity_id, max(vec_id) AS id,
+  CAST(list_sum(list_transform(arg_max(embedding, vec_id), lambda e, i: CAST(floor(CAST(e AS DOUBLE) * 1000000) AS BIGINT) * i)) AS BIGINT) AS vector_sum
 FROM embeddings GROUP BY 1, 2""")
 def _(spark, sf):
     rows = read_table(spark, sf, "embeddings").select(
         F.col("label").alias("entity_type"), F.expr("vec_id div 4").alias("entity_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
     )
-    return ov.latest_embedding(rows).select("entity_type", "entity_id", "id", F.round(F.col("vector")[0].cast("double"), 6).alias("x"))
+    weighted = F.transform("vector", lambda e, i: F.floor(e.cast("double") * 1000000) * (i + 1))      # every element counts, by its place
+    return ov.latest_embedding(rows).select("entity_type", "entity_id", "id", F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("vector_sum"))
 
 
 @catalog.add("d7_cards_for_nodes", with_views("nodes sims", TOP_SQL.format(by="node_id", tie="card_id") + """
