@@ -28,6 +28,13 @@ def contains_any(text: Column, words) -> Column:
     return F.rlike(text, F.lit("|".join(re.escape(w) for w in words)))
 
 
+def upper_each(text: Column) -> Column:
+    """Upper case, one character for each character: sharp s becomes its capital, and what has no single capital stays."""
+    upper = F.when(F.contains(text, F.lit("ß")), F.replace(text, F.lit("ß"), F.lit("ẞ"))).otherwise(text)
+    each = F.transform(F.split(upper, ""), lambda c: F.when(F.length(F.upper(c)) == F.length(c), F.upper(c)).otherwise(c))
+    return F.when(F.length(F.upper(upper)) == F.length(upper), F.upper(upper)).otherwise(F.array_join(each, ""))
+
+
 def rstrip_lines(text: Column) -> Column:
     return replace_all(text, r"[\t\x0b-\r\x1c-\x20\x85\p{Z}]+(\n|\z)", "$1")
 
