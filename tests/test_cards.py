@@ -15,3 +15,9 @@ def test_answers_in_capitals_are_right(spark, tmp_path):
     query = __import__("__spark_entry__").queries()["g16_grade"]
     rows = query(spark, talk(spark, tmp_path, WORDS)).collect()
     assert {(r.attempt_id // 6, r.type, r.correct) for r in rows} == {(i, "mcq", True) for i in range(len(WORDS))}
+
+
+def test_scores_count_answers_in_capitals(spark, tmp_path):
+    query = __import__("__spark_entry__").queries()["g17_scores"]
+    rows = query(spark, talk(spark, tmp_path, WORDS)).collect()
+    assert {(r.attempt_id // 6, r.score, r.max_score, r.correct_answers) for r in rows} == {(i, 1, 1, 1) for i in range(len(WORDS))}
