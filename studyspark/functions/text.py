@@ -28,6 +28,11 @@ def contains_any(text: Column, words) -> Column:
     return F.rlike(text, F.lit("|".join(re.escape(w) for w in words)))
 
 
+def holds_any(text: Column, words) -> Column:
+    """The same for a text computed once, by plain searches, which cost far less than a pattern of many branches."""
+    return bind(text, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words]))
+
+
 def upper_each(text: Column) -> Column:
     """Upper case, one character for each character: sharp s becomes its capital, and what has no single capital stays."""
     upper = F.when(F.contains(text, F.lit("ß")), F.replace(text, F.lit("ß"), F.lit("ẞ"))).otherwise(text)
@@ -161,22 +166,37 @@ def chunk_array(text: Column, max_size: int = 500, preserve_structure: bool = Tr
 
 
 def has_formula(text: Column) -> Column:
-    return F.rlike(text, F.lit(fx.FORMULA_MARK))
+    """Whether ``fx.FORMULA_MARK`` is found. Its parts are tried one by one, those with a context of letters only where a
+    plainer pattern has found the middle of them, as testing that context at every character costs ten times the rest."""
+    def guarded(guard: Column, part: str) -> Column:
+        return guard & F.rlike(text, F.lit(part))
+
+    def holds(sign: str) -> Column:
+        return F.contains(text, F.lit(sign))
+    return (
+        F.rlike(text, F.lit("[=+/×÷]"))
+        | guarded(F.octet_length(text) > F.length(text), "[⁰-⁼₀-₌→⇒]")
+        | guarded(F.rlike(text, F.lit("[A-Z]O[0-9]")), r"(^|[^\p{L}\p{N}_])[A-Z]O[0-9]")
+        | guarded(holds("$"), r"\$[^\$]*\$")
+        | guarded(holds("\\"), r"\\left|\\right|\\frac|\\sqrt")
+        | guarded(F.rlike(text, F.lit(r"[A-Za-z0-9]-(?:[A-Za-z]|[0-9]+)(?:$|[^\p{L}\p{N}_])")), r"(^|[^\p{L}\p{N}_])([A-Za-z]|[0-9]+)-([A-Za-z]|[0-9]+)($|[^\p{L}\p{N}_])")
+    )
 
 
 def spaces_in(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def content_type(text: Column) -> Column:
-    """heading, formula, list or paragraph, the first that applies; unknown when empty."""
+def content_type(text: Column, formula: Column | None = None) -> Column:
+    """heading, formula, list or paragraph, the first that applies; unknown when empty. ``formula`` is ``has_formula`` of the
+    text where a column already holds it."""
     short = (
         (F.length(text) < 50) & ~F.rlike(text, F.lit(r"[.!?:;]\z")) & F.rlike(text, F.lit(r"^\p{Lu}")) & (spaces_in(text) < 10)
     )
     return (
         F.when(F.coalesce(text, F.lit("")) == "", "unknown")
         .when(F.startswith(text, F.lit("#")) | short, "heading")
-        .when(has_formula(text), "formula")
+        .when(has_formula(text) if formula is None else formula, "formula")
         .when(F.rlike(text, F.lit(fx.LIST_START)), "list")
         .otherwise("paragraph")
     )

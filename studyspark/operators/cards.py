@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyspark.functions import fixed as fx
-from studyspark.functions.text import contains_any, replace_all, strip, word_count
+from studyspark.functions.text import bind, contains_any, replace_all, strip, word_count
 from studyspark.operators.edit_join import leader_clusters, similar_within
 from studyspark.operators.paging import top_n
 
@@ -118,6 +118,12 @@ def _nothing() -> Column:
     return F.lit(None).cast("struct<answer:string,confidence:double>")
 
 
+def _once(value: Column, test) -> Column:
+    """A row for the value if it passes the test, else none. Unlike those of a filter, which Spark moves below the
+    projection, the value is computed once."""
+    return F.explode(F.filter(F.array(value), test))
+
+
 def answer_overlap(df: DataFrame) -> DataFrame:
     """The sentence that holds most keywords of the question, the first of equals; rows without one are dropped."""
     keep = F.filter(
@@ -127,9 +133,9 @@ def answer_overlap(df: DataFrame) -> DataFrame:
     parts = F.filter(F.transform(F.split("text", "[.!?]+"), strip), lambda s: F.length(s) >= 20)
     base = df.withColumn("_kw", keep).withColumn("_n", F.size("_kw"))
     scored = F.transform(parts, lambda s, i: F.struct(
-        F.size(F.filter("_kw", lambda k: F.contains(F.lower(s), k))).alias("score"), (-i).alias("at"), s.alias("s")
+        bind(F.lower(s), lambda low: F.size(F.filter("_kw", lambda k: F.contains(low, k)))).alias("score"), (-i).alias("at"), s.alias("s")
     ))
-    best = base.withColumn("_b", F.array_max(scored)).filter(F.col("_b.score") > 0)
+    best = base.select("*", _once(F.array_max(scored), lambda b: b["score"] > 0).alias("_b"))
     return (
         best.withColumn("answer", F.col("_b.s"))
         .withColumn("confidence", F.least(F.lit(0.7), F.col("_b.score") / F.col("_n")))
@@ -150,10 +156,10 @@ def answer_pattern(df: DataFrame) -> DataFrame:
 
     def pick(condition: Column, test) -> Column:
         hit = F.get(F.filter("_s", lambda s: test(F.lower(s)) & is_valid_answer(s, "heuristic")), F.lit(0))
-        return F.when(condition & hit.isNotNull(), F.struct(hit.alias("answer"), F.lit(0.6).alias("confidence")))
+        return F.when(condition, bind(hit, lambda h: F.when(h.isNotNull(), F.struct(h.alias("answer"), F.lit(0.6).alias("confidence")))))
 
     def single(condition: Column, value: Column) -> Column:
-        return F.when(condition & is_valid_answer(value, "heuristic"), F.struct(value.alias("answer"), F.lit(0.5).alias("confidence")))
+        return F.when(condition, bind(value, lambda v: F.when(is_valid_answer(v, "heuristic"), F.struct(v.alias("answer"), F.lit(0.5).alias("confidence")))))
 
     formula = strip(F.regexp_extract("text", fx.ANSWER_FORMULA, 0))
     found = F.coalesce(
@@ -164,7 +170,7 @@ def answer_pattern(df: DataFrame) -> DataFrame:
         _nothing(),
     )
     return (
-        base.withColumn("_a", found).filter(F.col("_a").isNotNull())
+        base.select("*", _once(found, lambda a: a.isNotNull()).alias("_a"))
         .withColumn("answer", F.col("_a.answer")).withColumn("confidence", F.col("_a.confidence")).drop("_q", "_subject", "_s", "_a")
     )
 

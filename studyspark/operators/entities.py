@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyspark.functions import mentions as m
+from studyspark.functions.text import bind
 from studyspark.operators.edit_join import leader_clusters, similar_within
 from studyspark.session import cut_lineage
 
@@ -53,9 +54,9 @@ def entity_stats(df: DataFrame) -> DataFrame:
 
 def entity_array(text: Column, context: Column) -> Column:
     kept = F.filter(m.mention_array(text), lambda x: m.is_academic_term(x))
-    return F.transform(kept, lambda x: F.struct(
-        x.alias("text"), m.entity_type(x, context).alias("type"), m.confidence(x).alias("confidence")
-    ))
+    return bind(m.names_entities(context), lambda named: F.transform(kept, lambda x: F.struct(
+        x.alias("text"), m.entity_type(x, context, named).alias("type"), m.confidence(x).alias("confidence")
+    )))
 
 
 def attach_entities(chunks: DataFrame) -> DataFrame:

@@ -55,8 +55,8 @@ def chunk_metadata(chunks: DataFrame) -> DataFrame:
     """Type, formula flag, counts, level and own topic of every chunk."""
     return (
         chunks.withColumn("text", t.strip(F.col("text")))
-        .withColumn("type", t.content_type(F.col("text")))
         .withColumn("has_formula", t.has_formula(F.col("text")))
+        .withColumn("type", t.content_type(F.col("text"), F.col("has_formula")))
         .withColumn("char_count", F.length("text").cast("bigint"))
         .withColumn("word_count", t.word_count(F.col("text")))
         .withColumn("academic_level", t.academic_level(F.col("text"), F.col("has_formula"), F.col("word_count")))

@@ -1,7 +1,12 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from studyspark.functions import fixed as fx
+from studyspark.functions import mentions
 from studyspark.functions import text as t
+from studyspark.operators import cards as card_ops
 from studyspark.operators import layout, ocr, text_prep
 
 
@@ -91,3 +96,29 @@ def test_select_ocr_chain(spark):
     assert (out[1].service, list(out[1].chain)) == ("pixtral", ["pixtral"])
     assert (out[2].service, list(out[2].chain)) == ("textract", ["pixtral", "trocr", "textract"])
     assert (out[3].service, list(out[3].chain)) == (None, ["pixtral_failed", "trocr_failed", "textract_unavailable"])
+
+
+def test_formula_and_mentions_are_computed_once(spark):
+    """One scan for the formula mark, one answer per question: no copies of them in the plan."""
+    chunks = spark.createDataFrame([(1, 0, "Law = law. The law holds because the law is law.", "Law", "Why does law hold?")], "doc_id long, chunk_no int, text string, topic string, question string")
+    plan = text_prep.chunk_metadata(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[=+/×÷]") == 1
+    plan = card_ops.answer_overlap(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 1
+
+
+def test_formula_mark_and_mentions_of_odd_texts(spark):
+    texts = ["A-1", "x1-2", "a-b\n", "é-b", "1-2é", "xCO2", "CO2", "a$b", "a$b$", "\\left", "_a-b", "a-bc", "x⁵", "ⁱ", "a→b", "𝐀O2", "𝐚Bc Éa", "😀Bc iPhone X-Y 9Abc aBC",
+             "theorem Theorem THEOREM b", "Method method A = B a=b=c x = ", "Law law LAW Law-x", "D'E'- Ab Cd eF", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", t.has_formula(F.col("text")).alias("f"), F.rlike("text", F.lit(fx.FORMULA_MARK)).alias("mark"),
+        mentions.mention_array(F.col("text")).alias("m"), F.regexp_extract_all("text", F.lit(mentions.CANDIDATE), F.lit(0)).alias("every")).collect()
+    for row in rows:
+        assert row.f == row.mark, row.text
+        kept, seen = [], set()
+        for x in row.every or []:
+            wanted = unicodedata.category(x[0]) == "Lu" or any(s in x for s in "=+×÷→⇒±") or any(k in x.lower() for k in fx.ACADEMIC_KEYWORDS)
+            if wanted and x.lower() not in seen:
+                seen.add(x.lower())
+                kept.append(x)
+        assert row.m == (None if row.text is None else kept), row.text
