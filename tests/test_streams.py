@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from studyspark.functions import fixed as fx
 from studyspark.operators import telemetry
 from studyspark.plans import views
 from studyspark.session import scratch_path
 from studyspark.streaming.reviews import sm2_stream
 from studyspark.streaming.run import latest, run_available
-from studyspark.streaming.tasks import task_state_stream
+from studyspark.streaming.tasks import task_limits_stream, task_progress_stream, task_state_stream
 
 SCHEMA = "id bigint, name string"
 
@@ -110,3 +111,31 @@ def test_idle_tasks_begin_anew(spark):
     assert run() == {1: (2, "failed"), 2: (0, "failed"), 3: (0, "processing")}
     _tasks(spark, source, [(1, "ocr", "failed", "c", 9001.0, 5)], "four")
     assert run()[1] == (1, "processing")                  # idle for long: its steps are forgotten
+
+
+def test_several_limits_take_one_run(spark):
+    start = 1_700_000_000.0
+    rows = [(1, "ocr", "completed", None, start, 1), (1, "ocr", "failed", "bad", start + 1, 2), (2, "ocr", "completed", None, start + 400, 3),
+            (3, "finalize", "completed", None, start, 4), (4, "ocr", "completed", None, start + 1000, 5)]
+    source = scratch_path(spark, "source")
+    _tasks(spark, source, rows, "one")
+    stream = spark.readStream.schema(TASKS).option("recursiveFileLookup", "true").parquet(source)
+    got = latest(run_available(task_limits_stream(stream, "10 seconds", (300, 600)), "update", "limits"), ["task_id", "seconds"])
+    assert {(r.task_id, r.seconds): (r.status, r.error_message) for r in got.collect()} == {
+        (1, 300): ("failed", "timeout after 300 seconds"), (1, 600): ("failed", "timeout after 600 seconds"),
+        (2, 300): ("failed", "timeout after 300 seconds"), (2, 600): ("processing", None),
+        (3, 300): ("completed", None), (3, 600): ("completed", None), (4, 300): ("processing", None), (4, 600): ("processing", None)}
+
+
+def test_progress_goes_on_over_runs_without_python_state(spark):
+    source, target = scratch_path(spark, "source"), scratch_path(spark, "target")
+
+    def run():
+        stream = spark.readStream.schema(TASKS).option("recursiveFileLookup", "true").parquet(source)
+        rows = latest(run_available(task_progress_stream(stream), "update", "progress", target), ["task_id"]).collect()
+        return {r.task_id: (r.progress, r.failed_steps) for r in rows}
+    weights = dict(fx.STEP_WEIGHTS)
+    _tasks(spark, source, [(1, "ocr", "completed", None, 10.0, 1), (1, "ocr", "completed", None, 11.0, 2), (2, "tidy_up", "failed", "a", 12.0, 3)], "one")
+    assert run() == {1: (weights["ocr"], 0), 2: (0, 1)}
+    _tasks(spark, source, [(1, "finalize", "completed", None, 9.0, 4), (2, "tidy_up", "failed", "b", 13.0, 5), (2, "ocr", "failed", "c", 1.0, 6)], "two")
+    assert run() == {1: (weights["ocr"] + weights["finalize"], 0), 2: (0, 2)}
