@@ -18,8 +18,9 @@ def parse_content(df: DataFrame, column: str = "parsed_content") -> DataFrame:
 
 
 def explode_parsed(df: DataFrame) -> dict[str, DataFrame]:
-    """Tables topics, subtopics, formulas, concepts and questions of (note_id, parsed_content)."""
-    parsed = parse_content(df.select("note_id", "parsed_content"))
+    """Tables topics, subtopics, formulas, concepts and questions of (note_id, parsed_content), or of notes that
+    ``parse_content`` has parsed already."""
+    parsed = df if "parsed" in df.columns else parse_content(df.select("note_id", "parsed_content"))
 
     def items(array: str, pos: str) -> DataFrame:
         return parsed.select("note_id", F.posexplode(f"parsed.{array}").alias(pos, "x"))

@@ -18,3 +18,11 @@ def test_study_tables_come_with_their_schemas(spark):
         spark.createDataFrame([], schema).write.json(f"{folder}/{name}.json")
     found = tables.read_study_tables(spark, folder, "json")
     assert set(found) == set(STUDY_TABLES) and all(df.count() == 0 and df.columns == [f.split()[0] for f in STUDY_TABLES[n].split(", ")] for n, df in found.items())
+
+
+def test_notes_parsed_before_give_the_same_item_tables(spark):
+    from studyspark.sources.parsed import explode_parsed, parse_content
+    text = '{"topics": [{"name": "T", "subtopics": [{"title": "S", "content": "c"}]}], "formulas": [{"expression": "x"}], "key_concepts": [{"label": "K"}]}'
+    notes = spark.createDataFrame([(1, text), (2, "{}"), (3, None)], "note_id long, parsed_content string")
+    want, got = explode_parsed(notes), explode_parsed(parse_content(notes))
+    assert {k: v.collect() for k, v in got.items()} == {k: v.collect() for k, v in want.items()} and got["formulas"].first().latex == "x"
