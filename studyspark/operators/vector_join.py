@@ -3,8 +3,8 @@
 Both sides are cut into cells around pivot vectors, at every size alike. A vector is compared only with the
 cells its search radius reaches, which the triangle inequality decides without losing a pair. Cells are cut
 further into blocks of bounded size, so neither a crowded cell nor a group of equal vectors ever meets in one
-task: a task holds two blocks and their product, three times BLOCK_ROWS squared doubles at most beside the vectors.
-All arithmetic is in double precision.
+task: a task holds two blocks and the products of a strip of one with the other. A block is as large as memory allows, since
+each block is sent to all blocks it meets. Vectors travel as they were given; all arithmetic is in double precision.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from studyspark.operators.paging import top_n
 from studyspark.session import cut_lineage
 
-BLOCK_ROWS = 2048                 # most rows of one side of a block product
+BLOCK_BYTES = 8_000_000           # of one side of a block product, as doubles
+BLOCK_ROWS = 16_384               # and its most rows
+STRIP = 256                       # rows of it that meet the other side at once
 MAX_PIVOTS = 512
 SLACK = 1e-7
 
@@ -45,6 +47,8 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
 
 def _matches(left_ids, left, right_ids, right, threshold: float | None, k: int | None, by_left: bool = True) -> pd.DataFrame:
     """Pairs of one block: all above the threshold, or the k best per row of the keyed side."""
+    if by_left and len(left) > STRIP:
+        return pd.concat([_matches(left_ids[i:i + STRIP], left[i:i + STRIP], right_ids, right, threshold, k) for i in range(0, len(left), STRIP)], ignore_index=True)
     sims = np.clip(left @ right.T, -1.0, 1.0)
     if threshold is not None:
         i, j = np.nonzero(sims > threshold)
@@ -76,9 +80,14 @@ def _distances(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (matrix ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * matrix @ pivots.T))
 
 
+def _kind(df: DataFrame, name: str) -> str:
+    """A column of ``df`` with its type."""
+    return f"{name} {df.schema[name].dataType.simpleString()}"
+
+
 def _home_cells(df: DataFrame, pivots) -> DataFrame:
-    """Nearest pivot of every vector and the distance to it."""
-    schema = f"id {df.schema['id'].dataType.simpleString()}, vector array<double>, cell int, reach double"
+    """Nearest pivot of every vector and the distance to it, beside the columns of ``df``."""
+    schema = ", ".join(_kind(df, c) for c in df.columns) + ", cell int, reach double"
 
     def assign(batches):
         for pdf in batches:
@@ -87,12 +96,12 @@ def _home_cells(df: DataFrame, pivots) -> DataFrame:
                 cell = d.argmin(1)
                 yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
 
-    return df.select("id", F.col("vector").cast("array<double>")).mapInPandas(assign, schema)
+    return df.mapInPandas(assign, schema)
 
 
 def _reached_cells(df: DataFrame, pivots, radius: np.ndarray) -> DataFrame:
     """One row per cell a vector's search radius ``eps`` can reach."""
-    schema = f"id {df.schema['id'].dataType.simpleString()}, vector array<double>, cells array<int>"
+    schema = f"{_kind(df, 'id')}, {_kind(df, 'vector')}, cells array<int>"
     gaps = _distances(pivots.value, pivots.value)
 
     def assign(batches):
@@ -111,7 +120,7 @@ def _reached_cells(df: DataFrame, pivots, radius: np.ndarray) -> DataFrame:
                 "id": pdf["id"], "vector": pdf["vector"], "cells": [np.flatnonzero(row).astype("int32") for row in hit],
             })
 
-    found = df.select("id", F.col("vector").cast("array<double>"), "eps").mapInPandas(assign, schema)
+    found = df.select("id", "vector", "eps").mapInPandas(assign, schema)
     return found.select("id", "vector", F.explode("cells").alias("cell"))
 
 
@@ -119,17 +128,18 @@ def _lookup(values: list[int], cell: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(x)) for x in values]), cell + 1)
 
 
-def _block_product(probe: DataFrame, home: DataFrame, home_counts: list[int], cells: int, threshold, k, schema: str) -> DataFrame:
+def _block_product(probe: DataFrame, home: DataFrame, home_counts: list[int], cells: int, threshold, k, schema: str, dim: int, carry: str | None = None) -> DataFrame:
     """Every probe block against every home block of the same cell, each pair in its own group."""
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dim))))
     probe_counts = [0] * cells
     for row in probe.groupBy("cell").count().collect():     # at most MAX_PIVOTS rows
         probe_counts[row["cell"]] = row["count"]
-    home_blocks = [max(1, -(-n // BLOCK_ROWS)) for n in home_counts]
-    probe_blocks = [max(1, -(-n // BLOCK_ROWS)) for n in probe_counts]
+    home_blocks = [max(1, -(-n // rows)) for n in home_counts]
+    probe_blocks = [max(1, -(-n // rows)) for n in probe_counts]
 
     def keyed(df: DataFrame, own: list[int], other: list[int], own_key: str, other_key: str) -> DataFrame:
         return df.select(
-            "id", "vector", "cell",
+            *[c for c in df.columns if c != "reach"],
             F.pmod(F.xxhash64("id"), _lookup(own, F.col("cell"))).cast("int").alias(own_key),
             F.explode(F.sequence(F.lit(0), _lookup(other, F.col("cell")) - 1)).alias(other_key),
         )
@@ -139,8 +149,12 @@ def _block_product(probe: DataFrame, home: DataFrame, home_counts: list[int], ce
 
     def product(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         if not len(lhs) or not len(rhs):
-            return pd.DataFrame({"id_a": lhs["id"][:0], "id_b": rhs["id"][:0], "similarity": np.array([], dtype=float)})
-        return _matches(lhs["id"].to_numpy(), _unit(lhs["vector"]), rhs["id"].to_numpy(), _unit(rhs["vector"]), threshold, k)
+            return pd.DataFrame({"id_a": lhs["id"][:0], "id_b": rhs["id"][:0], "similarity": np.array([], dtype=float)} | ({carry: rhs[carry][:0]} if carry else {}))
+        if not carry:
+            return _matches(lhs["id"].to_numpy(), _unit(lhs["vector"]), rhs["id"].to_numpy(), _unit(rhs["vector"]), threshold, k)
+        found = _matches(lhs["id"].to_numpy(), _unit(lhs["vector"]), np.arange(len(rhs)), _unit(rhs["vector"]), threshold, k)
+        at = found["id_b"].to_numpy()
+        return found.assign(**{"id_b": rhs["id"].to_numpy()[at], carry: rhs[carry].to_numpy()[at]})
 
     return left.cogroup(right).applyInPandas(product, schema)
 
@@ -161,16 +175,18 @@ def _distance_of(similarity: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - 2 * similarity))
 
 
-def pairs_above(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """id_a, id_b, similarity of all pairs with cosine above ``threshold``. Inputs are (id, vector)."""
+def pairs_above(a: DataFrame, b: DataFrame, threshold: float, carry: str | None = None) -> DataFrame:
+    """id_a, id_b, similarity of all pairs with cosine above ``threshold``. Inputs are (id, vector). A column of ``b`` named by
+    ``carry`` comes along, which saves a join of all pairs."""
     if threshold < 0:
         raise ValueError("the threshold must not be negative")
-    a, b = a.select("id", "vector"), b.select("id", "vector")
+    a, b = a.select("id", "vector"), b.select("id", "vector", *([carry] if carry else []))
+    schema = _schema(a, b) + (f", {_kind(b, carry)}" if carry else "")
     if b.isEmpty():
-        return b.sparkSession.createDataFrame([], _schema(a, b))
+        return b.sparkSession.createDataFrame([], schema)
     pivots, home, counts, radius = _cells(a, b)
     probe = cut_lineage(_reached_cells(a.withColumn("eps", _distance_of(F.lit(threshold))), pivots, radius))
-    return _block_product(probe, home, counts, len(counts), threshold, None, _schema(a, b))
+    return _block_product(probe, home, counts, len(counts), threshold, None, schema, pivots.value.shape[1], carry)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -183,7 +199,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     # First look only at the query's own cell. The k-th similarity found there bounds the radius
     # within which the true k best must lie.
     own = _home_cells(a, pivots).select("id", "vector", "cell")
-    first = _block_product(own, home, counts, len(counts), None, k, schema)
+    first = _block_product(own, home, counts, len(counts), None, k, schema, pivots.value.shape[1])
     bound = (
         top_n(first, ["id_a"], [F.desc("similarity"), F.col("id_b")], k)
         .groupBy("id_a").agg(F.count("*").alias("n"), F.min("similarity").alias("kth"))
@@ -193,5 +209,5 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         "id", "vector", F.coalesce(eps, F.lit(2.0)).alias("eps")
     )
     probe = cut_lineage(_reached_cells(limited, pivots, radius))
-    found = _block_product(probe, home, counts, len(counts), None, k, schema)
+    found = _block_product(probe, home, counts, len(counts), None, k, schema, pivots.value.shape[1])
     return top_n(found, ["id_a"], [F.desc("similarity"), F.col("id_b")], k)

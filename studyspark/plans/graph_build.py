@@ -186,9 +186,8 @@ SELECT card_id AS source, node_id AS target, {LINK} AS type, round(similarity, 6
 WHERE similarity > {pv.THRESHOLD} AND NOT (similarity > 0.35 AND node_type <> 'Topic')"""))
 def _(spark, sf):
     cards, others = pv.cards_and_nodes(spark, sf)
-    none = spark.createDataFrame([], "source bigint, target bigint, type string")
-    strong = g.semantic_edges(cards, others, none, 0.35).filter("type = 'DERIVED_FROM'")
-    return g.semantic_edges(cards, others, strong, pv.THRESHOLD).select("source", "target", "type", F.round("weight", 6).alias("weight"))
+    edges = cut_lineage(g.semantic_edges(cards, others, threshold=pv.THRESHOLD))      # the strong ones are among them
+    return g.new_edges(edges, edges.filter("weight > 0.35 AND type = 'DERIVED_FROM'")).select("source", "target", "type", F.round("weight", 6).alias("weight"))
 
 
 @catalog.add("e16_min_one_link", with_views("nodes sims", f"""
@@ -197,8 +196,7 @@ def _(spark, sf):
 SELECT card_id AS source, node_id AS target, {LINK} AS type, round(similarity, 6) AS weight FROM r WHERE k = 1"""))
 def _(spark, sf):
     cards, others = pv.cards_and_nodes(spark, sf)
-    none = spark.createDataFrame([], "source bigint, target bigint, type string")
-    return g.min_one_link(cards, others, g.semantic_edges(cards, others, none, pv.THRESHOLD)).withColumn("weight", F.round("weight", 6))
+    return g.min_one_link(cards, others, g.semantic_edges(cards, others, threshold=pv.THRESHOLD)).withColumn("weight", F.round("weight", 6))
 
 
 @catalog.add("e17_graph_stats", with_views(NODES + " qa card_edges", """
