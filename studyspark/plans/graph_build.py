@@ -139,8 +139,8 @@ def _(spark, sf):
 SELECT child AS source, topic AS target, 'PART_OF' AS type, CAST(1 AS DOUBLE) AS weight FROM o
 WHERE type = 'heading' AND topic IN (SELECT label FROM topic_only) AND child IN (SELECT label FROM topic_only)"""))
 def _(spark, sf):
-    rows = chunks(spark, sf)
-    return g.part_of_by_heading(rows, resolved_nodes(rows)[1])
+    rows = cut_lineage(attach_entities(headed_chunks(spark, sf)).select("doc_id", "chunk_no", "type", "topic", "heading_level", "entities"))
+    return g.part_of_by_heading(rows, g.topic_labels(rows))
 
 
 @catalog.add("e10_part_of_by_description", with_views(NODES + " topic_only", """
