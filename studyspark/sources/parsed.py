@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from studyspark.schemas import PARSED_CONTENT
 
 
-def _filled(*names: str) -> Column:
+def _filled(*names: str | Column) -> Column:
     """The first of the alternate keys that holds something."""
-    return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
+    return F.coalesce(*[F.nullif(F.col(n) if isinstance(n, str) else n, F.lit("")) for n in names])
 
 
 def parse_content(df: DataFrame, column: str = "parsed_content") -> DataFrame:
@@ -50,3 +50,15 @@ def explode_parsed(df: DataFrame) -> dict[str, DataFrame]:
             _filled("x.context", "x.topic").alias("context"),
         ),
     }
+
+
+def note_arrays(parsed: DataFrame) -> DataFrame:
+    """note_id, topics (name, text with that of the subtopics) and formulas (latex, description) of parsed notes, as arrays of
+    their row, by the names that ``explode_parsed`` gives."""
+    contents = F.transform("parsed.topics", lambda x: F.struct(
+        F.coalesce(_filled(x["title"], x["name"]), F.lit("topic")).alias("name"),
+        F.concat_ws(" ", F.coalesce(x["description"], F.lit("")), F.when(
+            F.size(x["subtopics"]) > 0, F.array_join(F.transform(x["subtopics"], lambda s: F.coalesce(s["content"], F.lit(""))), " "))).alias("text")))
+    formulas = F.transform("parsed.formulas", lambda x: F.struct(
+        F.coalesce(_filled(x["latex"], x["expression"]), F.lit("formula")).alias("latex"), F.coalesce(x["description"], F.lit("")).alias("description")))
+    return parsed.select("note_id", contents.alias("topics"), formulas.alias("formulas"))
